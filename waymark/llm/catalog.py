@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import grouped_splits, mixing, sampling, terms
+from waymark.llm import canonical, grouped_splits, mixing, sampling, terms
 from waymark.llm.tokens import token_counts
 from waymark.plans.data_problems import canonical_tags
-from waymark.runtime import cut_lineage, table
+from waymark.operators.packed import explode_packed
+from waymark.runtime import bounded_rows, cut_lineage, table
 
 POOL_FIELDS = ["category", "continent", "country"]
 
@@ -66,6 +67,45 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(F.broadcast(whole), "label").select("label", "split", "n", (F.col("n") / F.col("label_n")).alias("share"))
 
 
+def _matchers(spark: SparkSession, sf_dir: str) -> dict[str, tuple[canonical.Matcher, list[str]]]:
+    """By field: the matcher and the entries that a value may equal letter for letter."""
+    read = lambda name, *cols: bounded_rows(table(spark, sf_dir, name).select(*cols).where(" and ".join(f"{c} is not null" for c in cols)).orderBy(*cols), canonical.MAX_ENTRIES, name)
+    tags = [r[0] for r in read("tag_cluster", "tags")]
+    countries = [(r[1], r[0]) for r in read("country_table", "country_code", "country")]
+    aliases = [(r[0], r[1]) for r in read("country_alias", "alias", "country_code")]
+    codes = {code.lower(): code for _, code in countries}
+    return {"wikidata.instance_tag": (canonical.Matcher([(t, t) for t in tags]), tags), "idk2.country": (canonical.Matcher(countries + aliases, codes), [name for name, _ in countries])}
+
+
+def _typed(spark: SparkSession, sf_dir: str, tags: list[str]) -> DataFrame:
+    tag = explode_packed(table(spark, sf_dir, "wikidata"), "scrape_id", ["instance_tag"], tags)
+    country = table(spark, sf_dir, "idk2").where(F.length(F.regexp_replace("country", r"[\s ]", "")) > 0)
+    return tag.select(F.lit("wikidata.instance_tag").alias("field"), F.col("scrape_id").alias("row_id"), "pos", "value").unionByName(country.select(F.lit("idk2.country").alias("field"), "row_id", F.lit(1).alias("pos"), F.col("country").alias("value")))
+
+
+def p7_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value with its canonical entry ('' where it means none) and whether it was written as the entry is."""
+    found = _matchers(spark, sf_dir)
+    rows = _typed(spark, sf_dir, found["wikidata.instance_tag"][1])
+    parts = []
+    for field, (matcher, entries) in found.items():
+        own = rows.where(F.col("field") == field)
+        exact = spark.createDataFrame([(e, matcher.raw[e]) for e in entries], "value string, entry string").dropDuplicates(["value"])
+        split = own.join(F.broadcast(exact), "value", "left")
+        mapped = canonical.map_values(split.where("entry is null"), matcher)
+        both = split.join(mapped, "value", "left").select("field", "row_id", "pos", "value", F.coalesce("entry", "canonical").alias("canonical"), F.col("entry").isNotNull().alias("as_written"))
+        parts.append(both)
+    return parts[0].unionByName(parts[1])
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_map(spark, sf_dir).where("not as_written").select("field", "row_id", "pos", "canonical")
+
+
+def p7_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_map(spark, sf_dir).where("canonical = ''").groupBy("field", "value").agg(F.count("*").alias("n"))
+
+
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_lineage(token_counts(table(spark, sf_dir, "documents"), "text", ["doc_id", "source"]))
 
@@ -82,7 +122,7 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_target"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p1_report, p5_found, p5_terms, p6_found, p6_split, p6_report, p9_found, p9_mix, p9_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p1_report, p5_found, p5_terms, p6_found, p6_split, p6_report, p7_found, p7_map, p7_unmatched, p9_found, p9_mix, p9_report)}
 
 SQL = {
     "p1_found": """
