@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import canonical, grouped_splits, mixing, sampling, terms
+from waymark.llm import canonical, grouped_splits, mixing, quality, sampling, terms
 from waymark.llm.tokens import token_counts
 from waymark.plans.data_problems import canonical_tags
 from waymark.operators.packed import explode_packed
@@ -122,7 +122,16 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_target"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p1_report, p5_found, p5_terms, p6_found, p6_split, p6_report, p7_found, p7_map, p7_unmatched, p9_found, p9_mix, p9_report)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.not_prose(quality.prose_distances(table(spark, sf_dir, "documents"), "doc_id", "text", "lang"), "doc_id")
+
+
+def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's statistics, its distance from prose and each statistic's part in it."""
+    return quality.prose_distances(table(spark, sf_dir, "documents"), "doc_id", "text", "lang").drop("form")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p1_report, p5_found, p5_terms, p6_found, p6_split, p6_report, p7_found, p7_map, p7_unmatched, p9_found, p9_mix, p9_report, p10_found, p10_statistics)}
 
 SQL = {
     "p1_found": """
