@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import canonical, grouped_splits, mixing, quality, sampling, terms
+from waymark.llm import canonical, grouped_splits, mixing, packing, quality, sampling, terms
 from waymark.llm.tokens import token_counts
 from waymark.plans.data_problems import canonical_tags
 from waymark.operators.packed import explode_packed
@@ -110,6 +110,22 @@ def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_lineage(token_counts(table(spark, sf_dir, "documents"), "text", ["doc_id", "source"]))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the packing has to cut."""
+    return packing.pack(_sizes(spark, sf_dir), "doc_id", "n_tokens").where("piece = 1").select("doc_id")
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_sizes(spark, sf_dir), "doc_id", "n_tokens")
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers get, by plan."""
+    sizes = _sizes(spark, sf_dir)
+    one = lambda name, planner: packing.fill_report(packing.pack(sizes, "doc_id", "n_tokens", planner=planner)).select(F.lit(name).alias("plan"), "*")
+    return one("best_fit", packing.best_fit).unionByName(one("length_buckets", packing.length_buckets))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mixes(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_target")).where("short").select("mix_id", "source")
 
@@ -131,7 +147,7 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.prose_distances(table(spark, sf_dir, "documents"), "doc_id", "text", "lang").drop("form")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p1_report, p5_found, p5_terms, p6_found, p6_split, p6_report, p7_found, p7_map, p7_unmatched, p9_found, p9_mix, p9_report, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p1_report, p5_found, p5_terms, p6_found, p6_split, p6_report, p7_found, p7_map, p7_unmatched, p8_found, p8_containers, p8_report, p9_found, p9_mix, p9_report, p10_found, p10_statistics)}
 
 SQL = {
     "p1_found": """

@@ -81,7 +81,7 @@ def statistics(text: str, words: list[str], common: frozenset[str]) -> list[floa
     ]
 
 
-def _is_junk(text: str, words: list[str]) -> bool:
+def _is_junk(text: str, words: list[str], common: frozenset[str]) -> bool:
     """Neither readable words nor names nor cells for the most part."""
     solid = max(1, sum(not c.isspace() for c in text))
     if sum(c.isalnum() for c in text) < 0.35 * solid:
@@ -97,7 +97,7 @@ def _is_junk(text: str, words: list[str]) -> bool:
     if any(len(words) >= 4 * p and len(words) >= 6 and sum(map(str.__eq__, words, words[p:])) >= 0.95 * (len(words) - p) for p in range(1, 7)):
         return True  # a few words over and over
     letters = sum(map(len, words))
-    return letters > 0.6 * solid and letters >= 30 and sum(c in _VOWELS for w in words for c in w) < 0.3 * letters
+    return sum(w in common for w in words) < 0.1 * len(words) and letters > 0.6 * solid and letters >= 30 and sum(c in _VOWELS for w in words for c in w) < 0.3 * letters
 
 
 def _row_cells(line: str) -> int:
@@ -119,7 +119,7 @@ def _row_cells(line: str) -> int:
 
 def form(text: str, words: list[str], common: frozenset[str]) -> str:
     """'prose', 'list', 'table' or 'junk': what most of the text's characters belong to."""
-    if not text.strip() or _is_junk(text, words):
+    if not text.strip() or _is_junk(text, words, common):
         return "junk" if text.strip() else "prose"
     size = Counter()
     share = lambda x: (lambda ws: sum(w in common for w in ws) / max(1, len(ws)))(_WORD.findall(x.lower()))
