@@ -33,3 +33,11 @@ def bounded_rows(df: DataFrame, max_rows: int, what: str) -> list:
     if len(rows) > max_rows:
         raise ValueError(f"{what} has more than {max_rows} rows")
     return rows
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of spark.checkpoint.dir; in this machine's temporary folder only where that is unset."""
+    import uuid
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    return f"{base.rstrip('/')}/waymark-{name}-{uuid.uuid4().hex}"
