@@ -137,7 +137,7 @@ def _quoted(b: np.ndarray, cls: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> t
         more = nxt < len(opening)
         onward = opening[np.minimum(nxt, len(opening) - 1)]
         cursor = onward[more & (row[onward] == row[cursor])]
-    begin, end = np.concatenate(begin), np.concatenate(end)
+    begin, end = np.concatenate([none, *begin]), np.concatenate([none, *end])
     order = np.argsort(begin)
     begin, end = begin[order], end[order]
     if len(begin):
