@@ -84,7 +84,8 @@ def statistics(text: str, words: list[str], common: frozenset[str]) -> list[floa
 def _is_junk(text: str, words: list[str], common: frozenset[str]) -> bool:
     """Neither readable words nor names nor cells for the most part."""
     solid = max(1, sum(not c.isspace() for c in text))
-    if sum(c.isalnum() for c in text) < 0.35 * solid:
+    bare = re.sub(r"[|+]|[-=:_]{3,}", "", text)  # without the lines of a table
+    if sum(c.isalnum() for c in bare) < 0.35 * sum(not c.isspace() for c in bare):
         return True
     if sum(len(m) for m in _MARKUP.findall(text)) > 0.4 * solid:
         return True
