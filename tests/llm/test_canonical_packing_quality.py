@@ -13,7 +13,7 @@ MATCHER = canonical.Matcher([*COUNTRIES, ("Wolstinhistan", "RO")], {c.lower(): c
 @pytest.mark.parametrize("value,want", [
     ("rolttel.", "RO"), ("ROTLEL", "RO"), ("The Rolttel", "RO"), ("Rôlttel", "RO"), ("(Rolttel)", "RO"), ("Rolttel [RO]", "RO"), ("ro", "RO"), ("Klav, Rolttel", "RO"), ("WOLSTINHISTAN", "RO"),
     ("Republic of Tondhe", "TO"), ("Rep. of Tondhe", "TO"), ("Tondhe", "TO"), ("Republic\xa0of\xa0Tondhe", "TO"), ("TONDHHE, EPUBLIC OF", "TO"), ("Republic_of_Tondhe", "TO"),
-    ("St. Drodath", "SD"), ("Snt. Drodath", "SD"), ("Peteklult, North", "NT"), ("S. Peteklult", "SH"), ("Northern Peteklult", "NT"), ("FS Zaltbelt", "ZL"), ("Fed. States of Zaltbelt", "ZL"), ("Puverk/Pemgo", "PV"), ("Puverk & Pemgo", "PV"),
+    ("St. Drodath", "SD"), ("Snt. Drodath", "SD"), ("Peteklult, North", "NT"), ("S. Peteklult", "SH"), ("Northern Peteklult", "NT"), ("FS Zaltbelt", "ZL"), ("Fed. States of Zaltbelt", "ZL"), ("Puverk/Pemgo", "PV"), ("Puverk & Pemgo", "PV"), ("Roltel", "RO"), ("Saint rDdath", "SD"),
     ("Breilrerkstead", ""), ("TBD", ""), ("xx", ""), ("", ""), ("?", ""), ("Peteklult", ""), ("Kazotrai Valley", ""), ("z" * 5000, ""),
 ])
 def test_country_cases(value, want):

@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_ENTRIES = 100_000
-MIN_COSINE = 0.1
+MIN_COSINE = 0.05
 MARGIN = 0.05
 MAX_SLIPS = 2
-CANDIDATES = 32
+CANDIDATES = 64
 
 #: Short forms of words (fixed values); used only where the long word occurs in the canonical list.
 SHORT = {"st": "saint", "snt": "saint", "ste": "saint", "rep": "republic", "fed": "federated", "n": "north", "northern": "north", "s": "south", "southern": "south", "e": "east", "eastern": "east", "w": "west", "western": "west", "utd": "united", "isl": "islamic", "comm": "commonwealth", "dem": "democratic"}
@@ -102,6 +102,18 @@ def slips(a: list[str], b: list[str]) -> np.ndarray:
     return out
 
 
+def few_slips(a: list[str], b: list[str]) -> np.ndarray:
+    """slips(), but 2 also where a letter is missing between two that were swapped, which slips() counts as 3."""
+    d = slips(a, b)
+    for n in np.flatnonzero(d == MAX_SLIPS + 1):
+        long, short = (a[n], b[n]) if len(a[n]) > len(b[n]) else (b[n], a[n])
+        if len(long) == len(short) + 1:
+            less = [long[:i] + long[i + 1 :] for i in range(len(long))]
+            if slips(less, [short] * len(less)).min() <= MAX_SLIPS - 1:
+                d[n] = MAX_SLIPS
+    return d
+
+
 class Matcher:
     """The inverted index over the forms of a canonical list."""
 
@@ -178,7 +190,7 @@ class Matcher:
         near = [n for n in range(len(of)) if min(abs(len(asked[of[n]][1]) - len(self.forms[form[n]])), abs(len(asked[of[n]][2]) - len(self.sorted[form[n]]))) <= MAX_SLIPS]
         if not near:
             return
-        d = np.minimum(slips([asked[of[n]][1] for n in near], [self.forms[form[n]] for n in near]), slips([asked[of[n]][2] for n in near], [self.sorted[form[n]] for n in near]))
+        d = np.minimum(few_slips([asked[of[n]][1] for n in near], [self.forms[form[n]] for n in near]), few_slips([asked[of[n]][2] for n in near], [self.sorted[form[n]] for n in near]))
         best: dict[int, dict[str, tuple[int, float]]] = {}
         for n, dist in zip(near, d.tolist()):
             if dist <= min(MAX_SLIPS, len(self.forms[form[n]]) // 2):
