@@ -393,7 +393,7 @@ def pivot_matrix_total(spark, sf_dir):
     d = table(spark, sf_dir, "lineitem")
     order = [r[0] for r in relational.counts(d, "l_linestatus").orderBy(F.col("n").desc(), "l_linestatus").limit(1000).collect()]
     wide = relational.pivot_counts(d, "l_returnflag", "l_linestatus", order)
-    return wide.withColumn("total", sum(F.col(c) for c in order))
+    return wide.withColumn("total", sum((F.col(c) for c in order), F.lit(0).cast("bigint")))
 
 
 @query("WITH u AS (SELECT landmark_id, count(DISTINCT country) + max((country IS NULL)::INT) AS n_countries FROM datasplit GROUP BY landmark_id) SELECT n_countries, count(*) AS landmarks FROM u GROUP BY n_countries")
@@ -639,7 +639,7 @@ def first_n_list(spark, sf_dir):
     return writers.flat_lists(relational.first_n(table(spark, sf_dir, "tag_cluster"), "cluster", "tags", "probability", 3))
 
 
-@query("WITH d AS (SELECT DISTINCT source, lang FROM documents WHERE source IS NOT NULL) SELECT source, array_to_string(list_sort(list(lang)), chr(10)) AS langs FROM d GROUP BY source")
+@query("WITH d AS (SELECT DISTINCT source, lang FROM documents WHERE source IS NOT NULL) SELECT source, coalesce(array_to_string(list_sort(list(lang)), chr(10)), '') AS langs FROM d GROUP BY source")
 def joined_text_per_group(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("source is not null").select("source", "lang").distinct()
     return d.groupBy("source").agg(F.array_join(F.sort_array(F.collect_list("lang")), "\n").alias("langs"))
@@ -750,10 +750,10 @@ def fourier_features(spark, sf_dir):
     return g.select("geo_id", at("b", 1).alias("basic_1"), at("b", 4).alias("basic_4"), at("p", 2).alias("positional_2"), at("p", 7).alias("positional_7"), at("s", 1).alias("gaussian_1"))
 
 
-@query("WITH r AS (SELECT geo_id, latitude AS lat, longitude AS lon FROM reverse_geocode WHERE abs(latitude) <= 90 AND abs(longitude) <= 180), d AS (SELECT geo_id, zone_id, round(2 * 6371008.8 * asin(sqrt(least(1, pow(sin(radians(centre_latitude - lat) / 2), 2) + cos(radians(lat)) * cos(radians(centre_latitude)) * pow(sin(radians(centre_longitude - lon) / 2), 2)))), 3) AS m FROM r, city_zone), b AS (SELECT geo_id, zone_id, m FROM d QUALIFY row_number() OVER (PARTITION BY geo_id ORDER BY m, zone_id) = 1) SELECT geo_id, CAST(zone_id AS BIGINT) AS place_id, round(m, 0) AS metres FROM reverse_geocode LEFT JOIN b USING (geo_id)")
+@query("WITH r AS (SELECT geo_id, latitude AS lat, longitude AS lon FROM reverse_geocode WHERE abs(latitude) <= 90 AND abs(longitude) <= 180), d AS (SELECT geo_id, zone_id, round(2 * 6371008.8 * asin(sqrt(least(1, pow(sin(radians(centre_latitude - lat) / 2), 2) + cos(radians(lat)) * cos(radians(centre_latitude)) * pow(sin(radians(centre_longitude - lon) / 2), 2)))), 3) AS m FROM r, city_zone), b AS (SELECT geo_id, zone_id, m FROM d QUALIFY row_number() OVER (PARTITION BY geo_id ORDER BY m, zone_id) = 1) SELECT geo_id, CAST(zone_id AS BIGINT) AS place_id, round(m / 1000, 0) AS km FROM reverse_geocode LEFT JOIN b USING (geo_id)")
 def nearest_place(spark, sf_dir):
     found = places.nearest_place(table(spark, sf_dir, "reverse_geocode"), "geo_id", "latitude", "longitude", table(spark, sf_dir, "city_zone"), "zone_id", "centre_latitude", "centre_longitude")
-    return found.select("geo_id", "place_id", F.round("metres", 0).alias("metres"))
+    return found.select("geo_id", "place_id", F.round(F.col("metres") / 1000, 0).alias("km"))
 
 
 @query("WITH d AS (SELECT l_orderkey, list(l_linenumber) AS a FROM lineitem GROUP BY 1) SELECT l_orderkey, len(list_filter(a, lambda x: x IN (1, 3, 5))) / len(a) AS ratio, len(list_filter(a, lambda x: x IN (1, 3, 5))) / len(a) >= 0.5 AS is_landmark FROM d")
@@ -857,7 +857,7 @@ def indexed_metadata(spark, sf_dir):
 def partitioned_sink(spark, sf_dir):
     path = scratch(spark, "split")
     writers.write_by(table(spark, sf_dir, "datasplit").select("row_id", "split"), path, "split")
-    return relational.counts(spark.read.parquet(path), "split")
+    return relational.counts(spark.read.schema("row_id bigint, split string").parquet(path), "split")
 
 
 @query("SELECT src, count(*) AS n FROM datasplit WHERE id IS NOT NULL AND src IS NOT NULL GROUP BY src")
@@ -865,7 +865,7 @@ def text_file_lists(spark, sf_dir):
     path = scratch(spark, "lists")
     d = table(spark, sf_dir, "datasplit").where("id is not null and src is not null")
     writers.write_by(d.select(F.replace("id", F.lit("\n"), F.lit(" ")).alias("value"), "src"), path, "src", form="text")
-    return relational.counts(spark.read.text(path), "src")
+    return relational.counts(spark.read.schema("value string, src string").text(path), "src")
 
 
 @query("SELECT row_idx, id FROM image_pool WHERE row_idx % 2 = 0")
