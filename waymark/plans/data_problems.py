@@ -61,6 +61,11 @@ def p4_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p2_found, p2_values, p3_found, p3_places, p4_found, p4_keys)}
 
 SQL = {
+    "p3_found": """
+        WITH g AS (SELECT geo_id, id, radians(latitude) AS la, radians(longitude) AS lo FROM reverse_geocode WHERE abs(latitude) <= 90 AND abs(longitude) <= 180)
+        SELECT a.geo_id AS geo_id_1, b.geo_id AS geo_id_2 FROM g a JOIN g b ON a.geo_id < b.geo_id AND b.la BETWEEN a.la - 0.00001 AND a.la + 0.00001
+        WHERE a.id IS DISTINCT FROM b.id
+            AND 2 * 6371008.8 * asin(sqrt(least(1, pow(sin((b.la - a.la) / 2), 2) + cos(a.la) * cos(b.la) * pow(sin((b.lo - a.lo) / 2), 2)))) <= 50""",
     "p4_found": """
         SELECT 'datasplit.landmark_id' AS field, CAST(landmark_id AS VARCHAR) AS hot_key FROM datasplit WHERE landmark_id IS NOT NULL
         GROUP BY landmark_id HAVING count(*) > 0.02 * (SELECT count(landmark_id) FROM datasplit)
