@@ -150,6 +150,11 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p1_report, p5_found, p5_terms, p6_found, p6_split, p6_report, p7_found, p7_map, p7_unmatched, p8_found, p8_containers, p8_report, p9_found, p9_mix, p9_report, p10_found, p10_statistics)}
 
 SQL = {
+    "p6_found": """
+        WITH RECURSIVE d AS (SELECT DISTINCT landmark_id AS l, regexp_extract(lower(id), '([0-9a-f]{16})', 1) AS image FROM datasplit WHERE landmark_id IS NOT NULL AND regexp_matches(lower(id), '[0-9a-f]{16}')),
+        e AS (SELECT DISTINCT x.l AS a, y.l AS b FROM d x JOIN d y ON x.image = y.image AND x.l <> y.l),
+        r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+        SELECT a AS landmark_id_1, b AS landmark_id_2 FROM r WHERE a < b""",
     "p1_found": """
         WITH long AS (
             SELECT id, 'category' AS field_name, lower(trim(category, ' ')) AS label FROM image_pool
