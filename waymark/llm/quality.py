@@ -44,7 +44,13 @@ _PAIR = re.compile(r"[^\W\d_][\w .()/-]{0,38}?(?:\s*[:=]\s+|\t)\S.{0,60}$")
 _MARKUP = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>|&#?\w{2,8};|\{\{[^{}\n]*\}\}|\[object Object\]|\bundefined\b|undefined|function\s*\(\)\s*\{[^{}\n]*\}|\bnull\b|\bNaN\b")
 _BROKEN = re.compile("�|ï¿½|Ã.|Â.|â€.?")
 _NUMBER = re.compile(r"[-+]?[\d.,]*\d[\d.,]*%?$")
-_VOWELS = frozenset("aeiouyäöüáàâéèêëíìîïóòôúùûåæøœ")
+_VOWELS = re.compile("[^aeiouyäöüáàâéèêëíìîïóòôúùûåæøœ]+")
+_ALNUM = re.compile(r"[^\W_]+")
+_DIGITS = re.compile(r"\d+")
+
+
+def _length(found: list[str]) -> int:
+    return sum(map(len, found))
 
 
 def language(words: list[str], named: str | None) -> str | None:
@@ -62,11 +68,8 @@ def language(words: list[str], named: str | None) -> str | None:
 def statistics(text: str, words: list[str], common: frozenset[str]) -> list[float]:
     """The numbers of STATS; counts and lengths as logarithms."""
     lines = [x for x in text.splitlines() if x.strip()]
-    solid = sum(not c.isspace() for c in text)
-    alnum = sum(c.isalnum() for c in text)
-    digits = sum(c.isdigit() for c in text)
-    letters = sum(map(len, words))
     tokens = text.split()
+    solid, alnum, digits, letters = _length(tokens), _length(_ALNUM.findall(text)), _length(_DIGITS.findall(text)), _length(words)
     return [
         float(np.log1p(len(words))),
         float(np.log1p(letters / len(words))) if words else 0.0,
@@ -77,28 +80,29 @@ def statistics(text: str, words: list[str], common: frozenset[str]) -> list[floa
         float(np.log1p(len(tokens) / max(1, len(lines)))),
         len(set(words)) / max(1.0, len(words) ** 0.8),
         sum(text.count(c) for c in "|\t;=/") / max(1, solid),
-        sum(c in _VOWELS for w in words for c in w) / max(1, letters),
+        len(_VOWELS.sub("", "".join(words))) / max(1, letters),
     ]
 
 
 def _is_junk(text: str, words: list[str], common: frozenset[str]) -> bool:
     """Neither readable words nor names nor cells for the most part."""
-    solid = max(1, sum(not c.isspace() for c in text))
+    solid = max(1, _length(text.split()))
     bare = re.sub(r"[|+]|[-=:_]{3,}", "", text)  # without the lines of a table
-    if sum(c.isalnum() for c in bare) < 0.35 * sum(not c.isspace() for c in bare):
+    if _length(_ALNUM.findall(bare)) < 0.35 * _length(bare.split()):
         return True
-    if sum(len(m) for m in _MARKUP.findall(text)) > 0.4 * solid:
+    if any(x in text for x in ("<", "&", "{{", "[object", "undefined", "function", "null", "NaN")) and _length(_MARKUP.findall(text)) > 0.4 * solid:
         return True
-    if 3 * sum(len(m) for m in _BROKEN.findall(text)) > solid:
+    if any(c in text for c in "�ïÃÂâ") and 3 * _length(_BROKEN.findall(text)) > solid:
         return True
     tokens = _TOKEN.findall(text)
-    odd = sum(len(t) for t in tokens if len(t) > 40 or (any(c.isdigit() for c in t) and any(c.isalpha() for c in t)))
+    odd = _length([t for t in tokens if len(t) > 40 or not t.isalpha() and _DIGITS.search(t) and _WORD.search(t)])
     if odd > 0.4 * solid:
         return True
-    if any(len(words) >= 4 * p and len(words) >= 6 and sum(map(str.__eq__, words, words[p:])) >= 0.95 * (len(words) - p) for p in range(1, 7)):
+    few = len(set(words)) <= 6 + 0.05 * len(words)  # else no run of a few words can be long enough
+    if few and any(len(words) >= 4 * p and len(words) >= 6 and sum(map(str.__eq__, words, words[p:])) >= 0.95 * (len(words) - p) for p in range(1, 7)):
         return True  # a few words over and over
-    letters = sum(map(len, words))
-    return sum(w in common for w in words) < 0.1 * len(words) and letters > 0.6 * solid and letters >= 30 and sum(c in _VOWELS for w in words for c in w) < 0.3 * letters
+    letters = _length(words)
+    return sum(w in common for w in words) < 0.1 * len(words) and letters > 0.6 * solid and letters >= 30 and len(_VOWELS.sub("", "".join(words))) < 0.3 * letters
 
 
 def _row_cells(line: str) -> int:
