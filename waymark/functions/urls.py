@@ -33,6 +33,15 @@ def heading(text: Column) -> Column:
     return F.regexp_replace(text, r"(?i)^Category:\s*", "")
 
 
+def _with(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often `use` names it."""
+    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
+
+
+def _place(tokens: Column, *marks: str) -> Column:
+    return F.array_position(F.transform(tokens, lambda t: t.isin(*marks)), True).cast("int")
+
+
 def _decimal(parts: Column, hemisphere: Column) -> Column:
     number = lambda i: F.try_element_at(parts, F.lit(i)).try_cast("double")
     whole = F.abs(number(1)) + F.coalesce(number(2), F.lit(0.0)) / 60 + F.coalesce(number(3), F.lit(0.0)) / 3600
@@ -46,10 +55,14 @@ def coordinates(value: Column) -> Column:
 
     A comma is a decimal point; a negative degree turns the sign once more; null where a hemisphere or a number is missing."""
     tokens = F.filter(F.split(F.replace(value, F.lit(","), F.lit(".")), "_"), lambda t: t != "")
-    at = F.array_position(F.transform(tokens, lambda t: t.isin("N", "S")), True).cast("int")
-    rest = F.slice(tokens, at + 1, F.greatest(F.size(tokens) - at, F.lit(0)))
-    end = F.array_position(F.transform(rest, lambda t: t.isin("E", "W")), True).cast("int")
-    found = (at > 1) & (end > 1)
-    lat = _decimal(F.slice(tokens, 1, F.greatest(at - 1, F.lit(0))), F.try_element_at(tokens, at))
-    lon = _decimal(F.slice(rest, 1, F.greatest(end - 1, F.lit(0))), F.try_element_at(rest, end))
-    return F.struct(F.when(found, lat).alias("latitude"), F.when(found, lon).alias("longitude"))
+
+    def parts(t: Column) -> Column:
+        return _with(_place(t, "N", "S"), lambda at: _with(F.slice(t, at + 1, F.greatest(F.size(t) - at, F.lit(0))), lambda rest: _with(_place(rest, "E", "W"), lambda end: both(t, at, rest, end))))
+
+    def both(t: Column, at: Column, rest: Column, end: Column) -> Column:
+        found = (at > 1) & (end > 1)
+        lat = _with(F.slice(t, 1, F.greatest(at - 1, F.lit(0))), lambda p: _decimal(p, F.try_element_at(t, at)))
+        lon = _with(F.slice(rest, 1, F.greatest(end - 1, F.lit(0))), lambda p: _decimal(p, F.try_element_at(rest, end)))
+        return F.struct(F.when(found, lat).alias("latitude"), F.when(found, lon).alias("longitude"))
+
+    return _with(tokens, parts)
