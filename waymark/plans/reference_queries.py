@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geo, text, urls, vectors
 from waymark.operators import losses, pages, places, query_sets, ranking, relational, samplers, splits
+from waymark.operators.packed import explode_packed
+from waymark.plans.data_problems import canonical_tags
 from waymark.runtime import broadcast_if_small, cut_lineage, scratch, table
 from waymark.sources import readers, writers
 from waymark.streaming import enrich
@@ -626,9 +628,10 @@ def explode_count(spark, sf_dir):
 
 @query("WITH m AS (SELECT tags, max(human_tag_parent) AS parent FROM tag_cluster GROUP BY tags), w AS (SELECT scrape_id, unnest(string_split(instance_tag, ',')) AS tag FROM wikidata WHERE instance_tag IS NOT NULL AND NOT regexp_matches(instance_tag, '[^a-z, -]')), j AS (SELECT scrape_id, parent FROM w JOIN m ON m.tags = trim(tag, ' ') WHERE parent IS NOT NULL) SELECT scrape_id, array_to_string(list_sort(list(DISTINCT parent)), ',') AS categories FROM j GROUP BY scrape_id")
 def list_filter_replace_unique(spark, sf_dir):
-    """Comma lists split, values replaced through a lookup, unknown ones dropped, repeats removed; empty results go."""
+    """Packed fields split as in operators.packed, values replaced through a lookup, unknown ones dropped, repeats removed; empty
+    results go. The SQL twin states only the fields of plain comma lists, as SQL can't split the rest."""
     m = table(spark, sf_dir, "tag_cluster").groupBy("tags").agg(F.max("human_tag_parent").alias("parent"))
-    w = table(spark, sf_dir, "wikidata").where("instance_tag is not null and not instance_tag rlike '[^a-z, -]'").select("scrape_id", F.explode(F.transform(F.split("instance_tag", ","), lambda x: F.trim(x))).alias("tag"))
+    w = explode_packed(table(spark, sf_dir, "wikidata"), "scrape_id", ["instance_tag"], canonical_tags(spark, sf_dir)).select("scrape_id", F.col("value").alias("tag"))
     j = w.join(F.broadcast(m), w.tag == m.tags).where("parent is not null")
     lists = j.groupBy("scrape_id").agg(F.sort_array(F.collect_set("parent")).alias("categories"))
     return writers.flat_lists(lists.where(F.size("categories") > 0))
