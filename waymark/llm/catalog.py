@@ -64,7 +64,7 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows by split and label, with the split's share of the label."""
     n = _split_rows(spark, sf_dir).groupBy("label", "split").agg(F.count("*").alias("n"))
     whole = n.groupBy("label").agg(F.sum("n").alias("label_n"))
-    return n.join(F.broadcast(whole), "label").select("label", "split", "n", (F.col("n") / F.col("label_n")).alias("share"))
+    return n.join(whole, "label").select("label", "split", "n", (F.col("n") / F.col("label_n")).alias("share"))
 
 
 def _matchers(spark: SparkSession, sf_dir: str) -> dict[str, tuple[canonical.Matcher, list[str]]]:

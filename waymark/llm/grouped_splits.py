@@ -6,7 +6,8 @@ nothing changes. Lineage is cut each round in the shared checkpoint folder. Link
 
 Whole groups are assigned: the few that hold more than 1/2000 of all rows (at most 2000 of them, so they fit the driver) greedily
 by size, each to the split whose label counts it brings closest to their targets; the rest by hash thresholds within the stratum
-of their most frequent label, against what the large groups left open.
+of their most frequent label, against what the large groups left open. Labels of fewer than 1/1000 of all rows, of which there may
+be any number, form one stratum together, so at most 1000 labels have one of their own.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ SPLITS = (("train", 0.8), ("val", 0.1), ("test", 0.1))
 SEED = 5
 LARGE = 1 / 2000
 MAX_LABELS = 1000
+RARE = ""  # the stratum of all rarer labels; that of a frequent label is "=" and the label
 
 
 def image_key(c: str) -> Column:
@@ -82,12 +84,15 @@ def row_groups(rows: DataFrame, key: str, record: str, entity: Column, label: Co
 def assign_groups(members: DataFrame, shares: Sequence[tuple[str, float]] = SPLITS, seed: int = SEED) -> DataFrame:
     """(kind, grp, split) of all groups. members: kind, grp, label. An empty table has no groups."""
     spark = members.sparkSession
-    counts = cut_lineage(members.groupBy("kind", "grp", "label").agg(F.count("*").alias("n")))
-    total = {r["label"]: r["n"] for r in bounded_rows(counts.groupBy("label").agg(F.sum("n").alias("n")), MAX_LABELS, "the label list")}
-    everything = sum(total.values())
+    everything = members.count()
+    frequent = bounded_rows(members.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") * MAX_LABELS >= everything), MAX_LABELS, "the list of frequent labels")
+    names = spark.createDataFrame([(r["label"], f"={r['label']}") for r in frequent], "label string, named string")
+    folded = members.join(F.broadcast(names), "label", "left").select("kind", "grp", F.coalesce("named", F.lit(RARE)).alias("label"))
+    counts = cut_lineage(folded.groupBy("kind", "grp", "label").agg(F.count("*").alias("n")))
+    total = {r["label"]: r["n"] for r in bounded_rows(counts.groupBy("label").agg(F.sum("n").alias("n")), MAX_LABELS + 1, "the list of strata")}
     groups = counts.groupBy("kind", "grp").agg(F.sum("n").alias("size"), F.max_by("label", F.struct("n", "label")).alias("stratum"))
     large = groups.where(F.col("size") > F.lit(LARGE * everything)).select("kind", "grp")
-    rows = bounded_rows(counts.join(F.broadcast(large), ["kind", "grp"]), int(1 / LARGE) * MAX_LABELS, "the label counts of large groups")
+    rows = bounded_rows(counts.join(F.broadcast(large), ["kind", "grp"]), int(1 / LARGE) * (MAX_LABELS + 1), "the label counts of large groups")
     labels = sorted(total)
     at = {x: i for i, x in enumerate(labels)}
     vectors: dict[tuple[int, int], np.ndarray] = {}
