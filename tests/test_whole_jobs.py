@@ -24,3 +24,16 @@ def test_list_filter_replace_unique_takes_every_field(spark, tmp_path):
             want[i] = ",".join(sorted(found))
     got = {r["scrape_id"]: r["categories"] for r in reference_queries.QUERIES["list_filter_replace_unique"](spark, str(tmp_path)).collect()}
     assert got == want and len(want) == 9
+
+
+def test_pivot_top_plus_other_counts_every_row(spark, tmp_path):
+    labels = ["Crossing", " portal", "lookout", "rail_stop", "garden_park", None]
+    countries = ["A", "A", "A", "B", "B", "B", "C", "C", "D", "D", "E", "E", "F", None]
+    rows = [(labels[i % 6], countries[i % 14]) for i in range(500)]
+    save(rows, "pred_label string, country string", spark, tmp_path, "idk2")
+    want = {}
+    for label, country in rows:
+        row = want.setdefault(label and label.strip().lower(), dict.fromkeys("ABCDE", 0) | {"Other": 0})
+        row[country if country in tuple("ABCDE") else "Other"] += 1
+    got = {r["label"]: {k: v for k, v in r.asDict().items() if k != "label"} for r in reference_queries.QUERIES["pivot_top_plus_other"](spark, str(tmp_path)).collect()}
+    assert got == want and sum(n for row in got.values() for n in row.values()) == len(rows)

@@ -73,10 +73,14 @@ def pivot_counts(df: DataFrame, key: str, by: str, values: Sequence[str]) -> Dat
     return wide.select(key, *[F.coalesce(F.col(f"`{v}`"), F.lit(0)).alias(v) for v in values])
 
 
-def top_or_other(df: DataFrame, c: str, most: int, other: str = "Other") -> Column:
-    """A column that keeps the `most` frequent values; the list has `most` entries."""
-    top = [r[0] for r in counts(df.where(F.col(c).isNotNull()), c).orderBy(F.col("n").desc(), c).limit(most).collect()]
-    return F.when(F.col(c).isin(top), F.col(c)).otherwise(other)
+def top_values(df: DataFrame, c: str, most: int) -> list:
+    """The `most` frequent values, most frequent first; the list has `most` entries."""
+    return [r[0] for r in counts(df.where(F.col(c).isNotNull()), c).orderBy(F.col("n").desc(), c).limit(most).collect()]
+
+
+def top_or_other(c: str, top: Sequence, other: str = "Other") -> Column:
+    """A column that keeps the values of `top`; nulls are among the others."""
+    return F.when(F.col(c).isin(list(top)), F.col(c)).otherwise(other)
 
 
 def first_n(df: DataFrame, key: str, value: str, score: str, n: int) -> DataFrame:

@@ -385,8 +385,10 @@ _LABELS = ("crossing", "portal", "stronghold", "worship_site")
 
 @query("WITH t AS (SELECT country FROM idk2 WHERE country IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, country LIMIT 5), d AS (SELECT CASE WHEN country IN (SELECT country FROM t) THEN country ELSE 'Other' END AS grp, lower(trim(pred_label, ' ')) AS label FROM idk2) SELECT grp, " + ", ".join(f"count(CASE WHEN label = '{x}' THEN 1 END) AS {x}" for x in _LABELS) + " FROM d GROUP BY grp")
 def pivot_top_plus_other(spark, sf_dir):
+    """Rows of every label, null too, by the most frequent countries and Other as columns. The SQL twin states four labels only, as columns."""
     d = table(spark, sf_dir, "idk2").select("country", _label("pred_label").alias("label"))
-    return relational.pivot_counts(d.select(relational.top_or_other(d, "country", 5).alias("grp"), "label"), "grp", "label", _LABELS)
+    top = relational.top_values(d, "country", 5)
+    return relational.pivot_counts(d.select(relational.top_or_other("country", top).alias("grp"), "label"), "label", "grp", list(dict.fromkeys([*top, "Other"])))
 
 
 @query("SELECT l_returnflag, count(CASE WHEN l_linestatus = 'F' THEN 1 END) AS F, count(CASE WHEN l_linestatus = 'O' THEN 1 END) AS O, count(CASE WHEN l_linestatus IN ('F', 'O') THEN 1 END) AS total FROM lineitem GROUP BY l_returnflag")
