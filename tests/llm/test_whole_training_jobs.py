@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from waymark.llm import grouped_splits
+from waymark.llm import catalog, grouped_splits, sampling
 
 
 def test_any_number_of_labels_gives_splits(spark):
@@ -19,3 +19,30 @@ def test_any_number_of_labels_gives_splits(spark):
         seen = Counter(s for label, s in placed if own(label))
         whole = sum(seen.values())
         assert all(abs(seen[s] - share * whole) <= 2 for s, share in grouped_splits.SPLITS)
+
+
+def spied(monkeypatch, module):
+    """The results of the module's budget_thresholds, as they come."""
+    seen, real = [], module.budget_thresholds
+    monkeypatch.setattr(module, "budget_thresholds", lambda *a: seen.append(real(*a)) or seen[-1])
+    return seen
+
+
+def test_p1_found_trims_the_reservoirs(spark, tmp_path, monkeypatch):
+    pool = [(f"i{i % 250}", ["Tower", " tower", "Gate"][i % 250 % 3], "N", "X" if i % 250 % 2 else None) for i in range(400)]
+    targets = [(p, f, v, s, 0.2, m) for p in (1, 2) for f, v, s, m in [("category", "tower", 0.5 * p, 5), ("category", "gate ", 1.0, 84 * p), ("country", "x", 0.1, 126), ("country", "y", 0.1, 1), ("none", "y", 0.0, 0), ("continent", None, 0.1, 1)]]
+    spark.createDataFrame(pool, "id string, category string, continent string, country string").write.parquet(f"{tmp_path}/image_pool.parquet")
+    spark.createDataFrame(targets, "plan_id int, field_name string, field_value string, target_share double, sample_fraction double, min_rows int").write.parquet(f"{tmp_path}/sample_target.parquet")
+    ids = {"category": {}, "continent": {}, "country": {}, "none": {}}
+    for i, *values in pool:
+        for f, v in zip(ids, values):
+            if v:
+                ids[f].setdefault(v.strip().lower(), set()).add(i)
+    have = lambda f, v: len(ids[f].get(v and v.strip(), ()))
+    want = {(p, f, v) for p, f, v, s, k, m in targets if max(m, s * k * 250) > have(f, v)}
+    cuts = spied(monkeypatch, sampling)
+    got = catalog.QUERIES["p1_found"](spark, str(tmp_path))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and 0 < len(want) < len(targets)
+    assert len(cuts) == 1 and cuts[0].count() == len(targets) and cuts[0].where("tau is not null").count() > 0
+    used = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "tau" in used or "below" in used

@@ -19,7 +19,7 @@ def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.quotas(_pool(spark, sf_dir), table(spark, sf_dir, "sample_target"), "id", POOL_FIELDS).where("not met").select("plan_id", "field_name", "field_value")
+    return sampling.exhausted(_pool(spark, sf_dir), table(spark, sf_dir, "sample_target"), "id", POOL_FIELDS).select("plan_id", "field_name", "field_value")
 
 
 def p1_sample(spark: SparkSession, sf_dir: str) -> DataFrame:

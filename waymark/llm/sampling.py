@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.thresholds import budget_thresholds, hash_of
+from waymark.llm.thresholds import budget_thresholds, hash_of, histogram
+from waymark.runtime import cut_lineage
 
 SEED = 11
 
@@ -21,31 +22,52 @@ def plain(c: str):
     return F.lower(F.regexp_replace(F.col(c), r"^[\s ]+|[\s ]+$", ""))
 
 
+def _group():
+    return F.concat_ws("\x1f", "field_name", "label")
+
+
 def _members(pool: DataFrame, entity: str, fields: list[str]) -> DataFrame:
     """(field_name, label, entity), once each; null entities and null labels are in no category."""
     long = pool.where(F.col(entity).isNotNull()).select(F.col(entity).alias("entity"), F.inline(F.array(*[F.struct(F.lit(f).alias("field_name"), plain(f).alias("label")) for f in fields])))
     return long.where("label is not null").distinct()
 
 
+def _items(pool: DataFrame, entity: str, fields: list[str], seed: int) -> DataFrame:
+    return _members(pool, entity, fields).select(_group().alias("g"), hash_of(F.col("entity"), seed).alias("h"), F.lit(1).alias("size"), "entity")
+
+
+def _asked(reservoirs: DataFrame, pool: DataFrame, targets: DataFrame, entity: str) -> DataFrame:
+    counts = reservoirs.groupBy("g").agg(F.sum("size").cast("bigint").alias("available"))
+    total = pool.agg(F.countDistinct(entity).alias("n"))
+    named = targets.withColumn("label", plain("field_value")).withColumn("g", _group()).crossJoin(F.broadcast(total))
+    wanted = F.greatest(F.col("min_rows").cast("double"), F.col("target_share") * F.col("sample_fraction") * F.col("n"), F.lit(0.0))
+    joined = named.join(counts, "g", "left").withColumns({"wanted": wanted, "available": F.coalesce("available", F.lit(0))})
+    return joined.select("g", "plan_id", "field_name", "field_value", "label", "wanted", "available", F.least(F.ceil(F.col("wanted") - 1e-9), "available").alias("quota"), (F.col("wanted") <= F.col("available")).alias("met"))
+
+
 def quotas(pool: DataFrame, targets: DataFrame, entity: str, fields: list[str]) -> DataFrame:
     """Per target: wanted = max(min_rows, share * fraction * N), available distinct entities, quota = what is drawn, met.
 
     N counts all distinct entities. Targets of unknown fields or labels have 0 available; an empty pool meets only a target of 0."""
-    members = _members(pool, entity, fields)
-    counts = members.groupBy("field_name", "label").agg(F.count("*").alias("available"))
-    total = pool.agg(F.countDistinct(entity).alias("n"))
-    named = targets.withColumn("label", plain("field_value")).crossJoin(F.broadcast(total))
-    wanted = F.greatest(F.col("min_rows").cast("double"), F.col("target_share") * F.col("sample_fraction") * F.col("n"), F.lit(0.0))
-    joined = named.join(counts, ["field_name", "label"], "left").withColumns({"wanted": wanted, "available": F.coalesce("available", F.lit(0))})
-    return joined.select("plan_id", "field_name", "field_value", "label", "wanted", "available", F.least(F.ceil(F.col("wanted") - 1e-9), "available").alias("quota"), (F.col("wanted") <= F.col("available")).alias("met"))
+    return _asked(histogram(_items(pool, entity, fields, SEED)), pool, targets, entity).drop("g")
+
+
+def _trimmed(items: DataFrame, pool: DataFrame, targets: DataFrame, entity: str) -> tuple[DataFrame, DataFrame]:
+    """What is asked, and (plan, g, tau) of the reservoirs trimmed to it; both from one merged histogram."""
+    reservoirs = cut_lineage(histogram(items))
+    asked = _asked(reservoirs, pool, targets, entity).withColumn("plan", F.struct("plan_id", "field_name", "field_value"))
+    budgets = asked.groupBy("plan", "g").agg(F.max("quota").alias("budget"))
+    return asked, budget_thresholds(items.drop("entity"), budgets, reservoirs)
 
 
 def draw(pool: DataFrame, targets: DataFrame, entity: str, fields: list[str], seed: int = SEED) -> DataFrame:
     """(plan_id, field_name, field_value, entity): every plan's sample, exactly its quotas."""
-    members = _members(pool, entity, fields).withColumn("h", hash_of(F.col("entity"), seed))
-    asked = quotas(pool, targets, entity, fields)
-    g = F.concat_ws("\x1f", "field_name", "label")
-    budgets = asked.groupBy(F.struct("plan_id", "field_name", "field_value").alias("plan"), g.alias("g")).agg(F.max("quota").alias("budget"))
-    items = members.select(g.alias("g"), "h", F.lit(1).alias("size"), "entity")
-    cut = budget_thresholds(items.drop("entity"), budgets)
+    items = _items(pool, entity, fields, seed)
+    cut = _trimmed(items, pool, targets, entity)[1]
     return items.join(F.broadcast(cut), "g").where("tau is null or h <= tau").select("plan.plan_id", "plan.field_name", "plan.field_value", F.col("entity").alias(entity))
+
+
+def exhausted(pool: DataFrame, targets: DataFrame, entity: str, fields: list[str], seed: int = SEED) -> DataFrame:
+    """(plan_id, field_name, field_value, wanted, available) of the targets whose reservoir is drawn whole and still falls short."""
+    asked, cut = _trimmed(_items(pool, entity, fields, seed), pool, targets, entity)
+    return asked.join(cut, ["plan", "g"]).where("tau is null and not met").select("plan_id", "field_name", "field_value", "wanted", "available")

@@ -33,15 +33,20 @@ def _edge(cells: DataFrame, plan: list[str], bucket: str) -> DataFrame:
     return first.select(*plan, f"e.{bucket}", "e.left")
 
 
-def budget_thresholds(items: DataFrame, budgets: DataFrame) -> DataFrame:
-    """items: g, h, size (>= 0); budgets: plan, g, budget (one row each).
+def histogram(items: DataFrame) -> DataFrame:
+    """(g, b0, size): sizes summed by group and leading bits, at most 4096 rows a group."""
+    return items.groupBy("g", _bucket(F.col("h"), 0).alias("b0")).agg(F.sum("size").cast("double").alias("size"))
+
+
+def budget_thresholds(items: DataFrame, budgets: DataFrame, sums: DataFrame | None = None) -> DataFrame:
+    """items: g, h, size (>= 0); budgets: plan, g, budget (one row each); sums: the items' histogram, if it is there already.
 
     (plan, g, tau): the items of g with h <= tau are the longest beginning of g in hash order whose sizes add up to at most
     budget. tau is null where all of g fits (h <= tau must then be read as true) and the lowest number where nothing does."""
     items = items.withColumns({"b0": _bucket(F.col("h"), 0), "b1": _bucket(F.col("h"), 1)})
     plan = ["plan", "g"]
     budgets = budgets.select("plan", "g", F.col("budget").cast("double").alias("left"))
-    sums = items.groupBy("g", "b0").agg(F.sum("size").cast("double").alias("size"))
+    sums = histogram(items) if sums is None else sums
     edge0 = _edge(budgets.join(sums, "g"), plan, "b0")
     sums = items.join(F.broadcast(edge0.select("g", "b0").distinct()), ["g", "b0"]).groupBy("g", "b0", "b1").agg(F.sum("size").cast("double").alias("size"))
     edge1 = _edge(edge0.join(sums, ["g", "b0"]), [*plan, "b0"], "b1")
