@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from waymark.llm import catalog, grouped_splits, sampling
+from waymark.llm import catalog, grouped_splits, mixing, sampling
 
 
 def test_any_number_of_labels_gives_splits(spark):
@@ -46,3 +46,19 @@ def test_p1_found_trims_the_reservoirs(spark, tmp_path, monkeypatch):
     assert len(cuts) == 1 and cuts[0].count() == len(targets) and cuts[0].where("tau is not null").count() > 0
     used = got._jdf.queryExecution().optimizedPlan().toString()
     assert "tau" in used or "below" in used
+
+
+def test_p9_found_deals_the_mix(spark, tmp_path, monkeypatch):
+    sizes = [(i, ["a", "a", "b", None][i % 4], i % 7) for i in range(400)]
+    targets = [(1, "a", 0.5, 1), (1, "b", 0.5, 1), (2, "b", 0.6, 3), (2, "gone", 0.1, 2), (3, "a", 0.9, 2), (3, "b", 0.0, 1)]
+    df = spark.createDataFrame(sizes, "doc_id bigint, source string, n_tokens bigint").repartition(3)
+    spark.createDataFrame(targets, "mix_id int, source string, target_share double, max_repeat int").write.parquet(f"{tmp_path}/mix_target.parquet")
+    monkeypatch.setattr(catalog, "_sizes", lambda *_: df)
+    total = sum(n for *_, n in sizes)
+    have = Counter()
+    for _, source, n in sizes:
+        have[source] += n
+    cuts = spied(monkeypatch, mixing)
+    got = sorted(map(tuple, catalog.QUERIES["p9_found"](spark, str(tmp_path)).collect()))
+    assert got == sorted((m, s) for m, s, share, most in targets if have[s] * most < share * total) and 0 < len(got) < len(targets)
+    assert len(cuts) == 1 and cuts[0].count() == len(targets) and cuts[0].where("tau is not null").count() > 0

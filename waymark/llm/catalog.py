@@ -127,7 +127,8 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan_mixes(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_target")).where("short").select("mix_id", "source")
+    """The targets that stay short although the mix uses all that their source has."""
+    return p9_report(spark, sf_dir).where("short and reached_tokens = available_tokens * max_repeat").select("mix_id", "source")
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,15 +10,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.thresholds import budget_thresholds, hash_of
+from waymark.llm.thresholds import budget_thresholds, hash_of, histogram
+from waymark.runtime import cut_lineage
 
 SEED = 23
 
 
-def plan_mixes(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+def _items(sizes: DataFrame, seed: int) -> DataFrame:
+    """g is the source. Documents without tokens add nothing; those without a source count in the total only."""
+    return sizes.where("n_tokens > 0").withColumns({"g": F.col("source"), "h": hash_of(F.col("doc_id"), seed), "size": F.col("n_tokens")})
+
+
+def _plans(sums: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target: target_tokens, available_tokens (0 for absent sources), copies (whole ones), rest_tokens of one more, short."""
-    per = sizes.groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"))
-    total = sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("total"))
+    per = sums.groupBy(F.col("g").alias("source")).agg(F.sum("size").cast("bigint").alias("available_tokens"))
+    total = sums.agg(F.coalesce(F.sum("size").cast("bigint"), F.lit(0)).alias("total"))
     t = targets.crossJoin(F.broadcast(total)).join(per, "source", "left").withColumn("available_tokens", F.coalesce("available_tokens", F.lit(0)))
     t = t.withColumn("target_tokens", F.col("target_share") * F.col("total"))
     t = t.withColumn("short", F.col("available_tokens") * F.col("max_repeat") < F.col("target_tokens"))
@@ -28,19 +34,31 @@ def plan_mixes(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return t.select("mix_id", "source", "target_share", "max_repeat", "total", "target_tokens", "available_tokens", "copies", rest.alias("rest_tokens"), "short")
 
 
-def mix(sizes: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
-    """(mix_id, source, doc_id, n_tokens, copies): every document that a mix uses, and how often. Documents without tokens aren't used."""
-    plans = plan_mixes(sizes, targets)
-    items = sizes.where("n_tokens > 0 and source is not null").withColumn("h", hash_of(F.col("doc_id"), seed))
+def plan_mixes(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """The plan of every target, without dealing the documents."""
+    return _plans(histogram(_items(sizes, SEED)), targets)
+
+
+def _deal(sizes: DataFrame, targets: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The plans and the documents used; both from one histogram of tokens by source and hash bucket."""
+    items = _items(sizes, seed)
+    sums = cut_lineage(histogram(items))
+    plans = _plans(sums, targets)
     budgets = plans.select(F.col("mix_id").alias("plan"), F.col("source").alias("g"), F.col("rest_tokens").alias("budget"))
-    cut = budget_thresholds(items.select(F.col("source").alias("g"), "h", F.col("n_tokens").alias("size")), budgets)
+    cut = budget_thresholds(items.select("g", "h", "size"), budgets, sums)
     rule = plans.join(cut.select(F.col("plan").alias("mix_id"), F.col("g").alias("source"), "tau"), ["mix_id", "source"]).select("mix_id", "source", "copies", "rest_tokens", "tau")
     once_more = F.when((F.col("rest_tokens") > 0) & (F.col("tau").isNull() | (F.col("h") <= F.col("tau"))), 1).otherwise(0)
-    return items.join(F.broadcast(rule), "source").select("mix_id", "source", "doc_id", "n_tokens", (F.col("copies") + once_more).alias("copies")).where("copies > 0")
+    return plans, items.join(F.broadcast(rule), "source").select("mix_id", "source", "doc_id", "n_tokens", (F.col("copies") + once_more).alias("copies")).where("copies > 0")
+
+
+def mix(sizes: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
+    """(mix_id, source, doc_id, n_tokens, copies): every document that a mix uses, and how often. Documents without tokens aren't used."""
+    return _deal(sizes, targets, seed)[1]
 
 
 def mix_report(sizes: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
     """Per target the tokens and share reached."""
-    got = mix(sizes, targets, seed).groupBy("mix_id", "source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("reached_tokens"), F.count("*").alias("n_documents"), F.max("copies").alias("most_copies"))
-    t = plan_mixes(sizes, targets).join(got, ["mix_id", "source"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("reached_tokens", "n_documents", "most_copies")})
+    plans, dealt = _deal(sizes, targets, seed)
+    got = dealt.groupBy("mix_id", "source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("reached_tokens"), F.count("*").alias("n_documents"), F.max("copies").alias("most_copies"))
+    t = plans.join(got, ["mix_id", "source"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("reached_tokens", "n_documents", "most_copies")})
     return t.select("mix_id", "source", "target_share", "max_repeat", "available_tokens", "target_tokens", "reached_tokens", F.try_divide("reached_tokens", "total").alias("reached_share"), "n_documents", "most_copies", "short")
