@@ -1,10 +1,11 @@
 """Training-data operators where their bounds used to bite."""
 
+import random
 from collections import Counter
 
 from pyspark.sql import functions as F
 
-from waymark.llm import catalog, grouped_splits, mixing, sampling
+from waymark.llm import canonical, catalog, grouped_splits, mixing, sampling
 
 
 def test_any_number_of_labels_gives_splits(spark):
@@ -62,3 +63,16 @@ def test_p9_found_deals_the_mix(spark, tmp_path, monkeypatch):
     got = sorted(map(tuple, catalog.QUERIES["p9_found"](spark, str(tmp_path)).collect()))
     assert got == sorted((m, s) for m, s, share, most in targets if have[s] * most < share * total) and 0 < len(got) < len(targets)
     assert len(cuts) == 1 and cuts[0].count() == len(targets) and cuts[0].where("tau is not null").count() > 0
+
+
+def test_every_form_within_two_slips_is_compared():
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcd") for _ in range(r.randrange(5, 8)))
+    names = sorted({word() for _ in range(900)})
+    matcher = canonical.Matcher([(n, n) for n in names])
+    values = sorted({word() for _ in range(200)} - set(names))
+    for v, (forms, _) in zip(values, matcher._candidates([(v, v) for v in values])):
+        assert {n for n, k in zip(names, canonical.few_slips([v] * len(names), names)) if k <= 2} <= {matcher.forms[f] for f in forms}
+    closer_by_cosine = [("abc" * k, "long") for k in range(3, 90)]
+    assert canonical.Matcher([*closer_by_cosine, ("abcabd", "D")]).match(["abcabc"]) == ["D"]
+    assert canonical.Matcher([*closer_by_cosine, ("abcabd", "D"), ("abcabe", "E")]).match(["abcabc"]) == [""]

@@ -2,7 +2,7 @@
 
 Values are deduplicated, so the cost follows spellings rather than rows. A value and every form of a canonical entry are
 normalised alike; character n-grams of the forms make an inverted index whose postings give candidates and, weighted by rarity,
-their cosine. Candidates above a threshold are checked exactly: at most two slips of the pen (a letter more, less, other, or
+their cosine. Candidates above a threshold, as many as there are, are checked exactly: at most two slips of the pen (a letter more, less, other, or
 two swapped), in the order written or with the words sorted. A value is accepted where its best entry is ahead of the next one
 by a margin; else it is reported as unmatched (the empty string).
 
@@ -29,7 +29,7 @@ MAX_ENTRIES = 100_000
 MIN_COSINE = 0.05
 MARGIN = 0.05
 MAX_SLIPS = 2
-CANDIDATES = 64
+PAIRS = 50_000  # compared at a time
 
 #: Short forms of words (fixed values); used only where the long word occurs in the canonical list.
 SHORT = {"st": "saint", "snt": "saint", "ste": "saint", "rep": "republic", "fed": "federated", "n": "north", "northern": "north", "s": "south", "southern": "south", "e": "east", "eastern": "east", "w": "west", "western": "west", "utd": "united", "isl": "islamic", "comm": "commonwealth", "dem": "democratic"}
@@ -114,6 +114,14 @@ def few_slips(a: list[str], b: list[str]) -> np.ndarray:
     return d
 
 
+def letter_counts(texts: list[str]) -> np.ndarray:
+    """How often each letter occurs, by code modulo 64. A slip takes away one letter and adds one at most, a swap none."""
+    out = np.zeros((len(texts), 64), np.int16)
+    for i, text in enumerate(texts):
+        np.add.at(out[i], [ord(c) % 64 for c in text], 1)
+    return out
+
+
 class Matcher:
     """The inverted index over the forms of a canonical list."""
 
@@ -144,12 +152,13 @@ class Matcher:
         self.rare = float(np.log1p(len(self.forms)))
         order = np.argsort(rows, kind="stable")
         self.posting, self.begin = cols[order], np.concatenate([[0], np.cumsum(many)])
+        self.letters, self.sorted_letters = letter_counts(self.forms), letter_counts(self.sorted)
         self.norm = np.sqrt(np.bincount(cols, self.idf[rows] ** 2, len(self.forms)))
 
-    def _candidates(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(forms, cosines) of each text, the best first."""
+    def _candidates(self, texts: list[tuple[str, str]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(forms, cosines) of each text, given as written and with its words sorted: all whose letters allow for two slips."""
         out = []
-        for text in texts:
+        for text, ordered in texts:
             gs = set(grams(text))
             ids = np.array([self.gram[g] for g in gs if g in self.gram], np.int64)
             norm = np.sqrt((self.idf[ids] ** 2).sum() + (len(gs) - len(ids)) * self.rare**2)
@@ -157,8 +166,12 @@ class Matcher:
             weight = np.repeat(self.idf[ids] ** 2, self.begin[ids + 1] - self.begin[ids])
             forms, at = np.unique(hit, return_inverse=True)
             cosine = np.bincount(at, weight, len(forms)) / np.maximum(1e-12, norm * self.norm[forms])
-            best = np.argsort(-cosine, kind="stable")[:CANDIDATES]
-            best = best[cosine[best] >= MIN_COSINE]
+            best = np.flatnonzero(cosine >= MIN_COSINE)
+            apart = np.full(len(best), MAX_SLIPS + 1)
+            for own, letters in ((text, self.letters), (ordered, self.sorted_letters)):
+                more = letters[forms[best]] - letter_counts([own])
+                apart = np.minimum(apart, np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1)))
+            best = best[apart <= MAX_SLIPS]
             out.append((forms[best], cosine[best]))
         return out
 
@@ -183,16 +196,16 @@ class Matcher:
 
     def _fuzzy(self, asked: list[tuple[int, str, str]], result: list[str]) -> None:
         of, form, cosine = [], [], []
-        for k, (f, c) in enumerate(self._candidates([w for _, w, _ in asked])):
+        for k, (f, c) in enumerate(self._candidates([(w, s) for _, w, s in asked])):
             of += [k] * len(f)
             form += f.tolist()
             cosine += c.tolist()
-        near = [n for n in range(len(of)) if min(abs(len(asked[of[n]][1]) - len(self.forms[form[n]])), abs(len(asked[of[n]][2]) - len(self.sorted[form[n]]))) <= MAX_SLIPS]
-        if not near:
-            return
-        d = np.minimum(few_slips([asked[of[n]][1] for n in near], [self.forms[form[n]] for n in near]), few_slips([asked[of[n]][2] for n in near], [self.sorted[form[n]] for n in near]))
+        d: list[int] = []
+        for part in range(0, len(of), PAIRS):
+            near = range(part, min(part + PAIRS, len(of)))
+            d += np.minimum(few_slips([asked[of[n]][1] for n in near], [self.forms[form[n]] for n in near]), few_slips([asked[of[n]][2] for n in near], [self.sorted[form[n]] for n in near])).tolist()
         best: dict[int, dict[str, tuple[int, float]]] = {}
-        for n, dist in zip(near, d.tolist()):
+        for n, dist in enumerate(d):
             if dist <= min(MAX_SLIPS, len(self.forms[form[n]]) // 2):
                 per = best.setdefault(asked[of[n]][0], {})
                 target, score = self.targets[form[n]], (dist, -cosine[n])
