@@ -1,5 +1,7 @@
 """Queries over fixtures that hold what a narrower query would leave out, against plain Python."""
 
+import math
+
 from test_packed import plain
 
 from waymark.plans import reference_queries
@@ -37,3 +39,16 @@ def test_pivot_top_plus_other_counts_every_row(spark, tmp_path):
         row[country if country in tuple("ABCDE") else "Other"] += 1
     got = {r["label"]: {k: v for k, v in r.asDict().items() if k != "label"} for r in reference_queries.QUERIES["pivot_top_plus_other"](spark, str(tmp_path)).collect()}
     assert got == want and sum(n for row in got.values() for n in row.values()) == len(rows)
+
+
+def test_polar_locations_are_projected_and_encoded(spark, tmp_path):
+    places = [(1, 84.0, 10.0), (2, 85.0, -20.0), (3, -89.5, 180.0), (4, 90.0, 30.0), (5, -90.0, 40.0), (6, 90.5, 0.0), (7, None, 0.0)]
+    save(places, "geo_id bigint, latitude double, longitude double", spark, tmp_path, "reverse_geocode")
+    got = {n: {r["geo_id"]: r for r in reference_queries.QUERIES[n](spark, str(tmp_path)).collect()} for n in ("equal_earth", "web_mercator", "fourier_features")}
+    assert all(set(rows) == {1, 2, 3, 4, 5} for rows in got.values())
+    for i, lat, lon in places[:5]:
+        m, t = got["web_mercator"][i], math.asin(math.sqrt(3) / 2 * math.sin(math.radians(lat)))
+        y = None if abs(lat) == 90 else math.log(math.tan(math.pi / 4 + math.radians(lat) / 2)) * 6378137 / 20037508.3427892
+        assert (m["y"] is None) == (y is None) and (y is None or abs(m["y"] - y) < 1e-7) and abs(m["x"] - math.radians(lon) * 6378137 / 20037508.3427892) < 1e-7
+        assert abs(got["equal_earth"][i]["y"] - (0.003796 * t**9 + 0.000893 * t**7 - 0.081106 * t**3 + 1.340264 * t) * 66.50336 / 180) < 1e-7
+        assert abs(got["fourier_features"][i]["basic_1"] - math.cos(2 * math.pi * lat / 90)) < 1e-7

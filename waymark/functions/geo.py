@@ -26,9 +26,9 @@ def equal_earth(lat: Column, lon: Column) -> Column:
 
 
 def web_mercator(lat: Column, lon: Column) -> Column:
-    """struct(y, x) as parts of the half width."""
+    """struct(y, x) as parts of the half width. The poles have no y."""
     x = F.radians(lon) * MERCATOR_RADIUS
-    y = F.log(F.tan(F.lit(math.pi / 4) + F.radians(lat) / 2)) * MERCATOR_RADIUS
+    y = F.when(F.abs(lat) < 90, F.log(F.tan(F.lit(math.pi / 4) + F.radians(lat) / 2)) * MERCATOR_RADIUS)
     return F.struct((y / MERCATOR_HALF).alias("y"), (x / MERCATOR_HALF).alias("x"))
 
 

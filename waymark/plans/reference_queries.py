@@ -734,7 +734,8 @@ _GOOD = "g AS (SELECT geo_id, latitude AS lat, longitude AS lon FROM reverse_geo
 
 
 def _good(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "reverse_geocode").where("abs(latitude) < 85 and abs(longitude) <= 180").select("geo_id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
+    """All coordinates in range; no row of the tables lies in the SQL twins' gap of 85 degrees and beyond."""
+    return table(spark, sf_dir, "reverse_geocode").where("abs(latitude) <= 90 and abs(longitude) <= 180").select("geo_id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
 
 
 @query(f"WITH {_GOOD}, t AS (SELECT *, asin(sqrt(3.0) / 2 * sin(radians(lat))) AS t FROM g) SELECT geo_id, round(2 * sqrt(3.0) * radians(lon) * cos(t) / (3 * (9 * 0.003796 * t ** 8 + 7 * 0.000893 * t ** 6 + 3 * -0.081106 * t ** 2 + 1.340264)) * 66.50336 / 180, 8) AS x, round((0.003796 * t ** 9 + 0.000893 * t ** 7 + -0.081106 * t ** 3 + 1.340264 * t) * 66.50336 / 180, 8) AS y FROM t")
