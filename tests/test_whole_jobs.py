@@ -52,3 +52,12 @@ def test_polar_locations_are_projected_and_encoded(spark, tmp_path):
         assert (m["y"] is None) == (y is None) and (y is None or abs(m["y"] - y) < 1e-7) and abs(m["x"] - math.radians(lon) * 6378137 / 20037508.3427892) < 1e-7
         assert abs(got["equal_earth"][i]["y"] - (0.003796 * t**9 + 0.000893 * t**7 - 0.081106 * t**3 + 1.340264 * t) * 66.50336 / 180) < 1e-7
         assert abs(got["fourier_features"][i]["basic_1"] - math.cos(2 * math.pi * lat / 90)) < 1e-7
+
+
+def test_page_fields_parses_every_scrape(spark, tmp_path):
+    url, geo = "https://commons.heritage-archive.example/wiki/Category:A_%26_B", "https://geohack.heritage-archive.example/x?a=1&params=1_N_2_E"
+    full = ("Mill & <Forge>", geo, "Q7", 'tower, "keep" & gate', url)
+    rows = [(i, *[None if i >> k & 1 else v for k, v in enumerate(full)]) for i in range(32)]
+    save(rows, "scrape_id bigint, poi_name string, geohack_url string, wikidata_id string, instance_tag string, wikimedia_url string", spark, tmp_path, "wikidata")
+    got = {r["scrape_id"]: (r["poi_name"], r["geohack_url"], r["wikidata_id"], r["instance_tag"], r["candidate_links"]) for r in reference_queries.QUERIES["page_fields"](spark, str(tmp_path)).collect()}
+    assert got == {i: (*fields, [link] if link else []) for i, *fields, link in rows}

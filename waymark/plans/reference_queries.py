@@ -776,15 +776,21 @@ _SITE, _GEO = "commons.heritage-archive.example", ("geohack.heritage-archive.exa
 
 
 def _pages(spark, sf_dir) -> DataFrame:
-    """A category page for every scrape that has its fields."""
-    w = table(spark, sf_dir, "wikidata").where("poi_name is not null and geohack_url is not null and wikidata_id is not null")
-    html = F.concat(F.lit('<html><head><script>var x = "</p>";</script></head><body><h1 id="firstHeading">Category:'), F.replace(F.replace("poi_name", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('</h1><p>About<a href="'), "geohack_url", F.lit('">map</a><br><a href="https://www.wikidata.org/wiki/'), "wikidata_id", F.lit('">item</a></body></html>'))
-    return w.select("scrape_id", html.alias("html"), "wikimedia_url")
+    """A category page for every scrape, without the elements of its null fields."""
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    part = lambda before, c, after: F.coalesce(F.concat(F.lit(before), safe(c), F.lit(after)), F.lit(""))
+    html = F.concat(
+        F.lit('<html><head><script>var x = "</p>";</script>'), part('<link rel="canonical" href="', "wikimedia_url", '">'), F.lit("</head><body>"),
+        part('<h1 id="firstHeading">Category:', "poi_name", "</h1>"), F.lit("<p>About"), part('<a href="', "geohack_url", '">map</a><br>'), part('<a href="https://www.wikidata.org/wiki/', "wikidata_id", '">item</a>'), F.lit("</p>"),
+        part('<table id="wdinfobox"><tr><th class="wikidatainfobox-lcell">Instance of</th><td><a>', "instance_tag", "</a></td></tr></table>"), F.lit("</body></html>"),
+    )
+    return table(spark, sf_dir, "wikidata").select("scrape_id", html.alias("html"), "wikimedia_url")
 
 
 @query("SELECT scrape_id, geohack_url, trim(poi_name) AS poi_name, wikidata_id FROM wikidata WHERE poi_name IS NOT NULL AND geohack_url IS NOT NULL AND wikidata_id IS NOT NULL")
 def page_fields(spark, sf_dir):
-    return pages.page_fields(_pages(spark, sf_dir), "scrape_id", "html", "wikimedia_url", _SITE, _GEO).select("scrape_id", "geohack_url", "poi_name", "wikidata_id")
+    """All parsed fields of every page. The SQL twin states three of them, for the scrapes that have all three."""
+    return pages.page_fields(_pages(spark, sf_dir), "scrape_id", "html", "wikimedia_url", _SITE, _GEO)
 
 
 def _site(url: str) -> tuple[str, str]:
