@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from waymark.functions.bind import bound
+
 
 def host(url: Column) -> Column:
     return F.lower(F.try_parse_url(url, F.lit("HOST")))
@@ -33,11 +35,6 @@ def heading(text: Column) -> Column:
     return F.regexp_replace(text, r"(?i)^Category:\s*", "")
 
 
-def _with(value: Column, use) -> Column:
-    """use(value) with the value computed once, however often `use` names it."""
-    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
-
-
 def _place(tokens: Column, *marks: str) -> Column:
     return F.array_position(F.transform(tokens, lambda t: t.isin(*marks)), True).cast("int")
 
@@ -57,12 +54,12 @@ def coordinates(value: Column) -> Column:
     tokens = F.filter(F.split(F.replace(value, F.lit(","), F.lit(".")), "_"), lambda t: t != "")
 
     def parts(t: Column) -> Column:
-        return _with(_place(t, "N", "S"), lambda at: _with(F.slice(t, at + 1, F.greatest(F.size(t) - at, F.lit(0))), lambda rest: _with(_place(rest, "E", "W"), lambda end: both(t, at, rest, end))))
+        return bound(_place(t, "N", "S"), lambda at: bound(F.slice(t, at + 1, F.greatest(F.size(t) - at, F.lit(0))), lambda rest: bound(_place(rest, "E", "W"), lambda end: both(t, at, rest, end))))
 
     def both(t: Column, at: Column, rest: Column, end: Column) -> Column:
         found = (at > 1) & (end > 1)
-        lat = _with(F.slice(t, 1, F.greatest(at - 1, F.lit(0))), lambda p: _decimal(p, F.try_element_at(t, at)))
-        lon = _with(F.slice(rest, 1, F.greatest(end - 1, F.lit(0))), lambda p: _decimal(p, F.try_element_at(rest, end)))
+        lat = bound(F.slice(t, 1, F.greatest(at - 1, F.lit(0))), lambda p: _decimal(p, F.try_element_at(t, at)))
+        lon = bound(F.slice(rest, 1, F.greatest(end - 1, F.lit(0))), lambda p: _decimal(p, F.try_element_at(rest, end)))
         return F.struct(F.when(found, lat).alias("latitude"), F.when(found, lon).alias("longitude"))
 
-    return _with(tokens, parts)
+    return bound(tokens, parts)

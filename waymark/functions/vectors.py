@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from waymark.functions.bind import bound
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -17,9 +19,9 @@ def norm(a: Column) -> Column:
 
 
 def l2_normalise(a: Column) -> Column:
-    """The zero vector stays as it is."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
+    """The zero vector stays as it is. Vector and norm are computed once, not once an element."""
+    scaled = lambda v, n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
+    return bound(a, lambda v: bound(norm(v), lambda n: scaled(v, n)))
 
 
 def composite(*parts: Column) -> Column:
