@@ -145,7 +145,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's statistics, its distance from prose and each statistic's part in it."""
-    return quality.prose_distances(table(spark, sf_dir, "documents"), "doc_id", "text", "lang").drop("form")
+    return quality.prose_distances(table(spark, sf_dir, "documents"), "doc_id", "text", "lang").drop("kind")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p1_report, p5_found, p5_terms, p6_found, p6_split, p6_report, p7_found, p7_map, p7_unmatched, p8_found, p8_containers, p8_report, p9_found, p9_mix, p9_report, p10_found, p10_statistics)}
