@@ -53,6 +53,27 @@ def test_sample_is_uniform(spark):
     assert len(seen) == 600 and abs(sum(seen) / 600 - 250) < 30 and len(set(seen)) > 95
 
 
+def test_reservoirs_hold_the_smallest_hashes(spark, monkeypatch):
+    rows = [(f"i{i % 3000}", ["Tower", " tower", "Gate", None][i % 3000 % 4], "x" if i % 2 else None) for i in range(5000)]
+    p = spark.createDataFrame(rows, "id string, category string, kind string").repartition(3)
+    caps = {"category\x1ftower": 40, "category\x1fgate": 10_000, "kind\x1fx": 5, "kind\x1fgone": 9}
+    plain = sampling.reservoirs(p, "id", ["category", "kind"], caps).collect()
+    h = {r["id"]: r["h"] for r in p.select("id", thresholds.hash_of(F.col("id"), sampling.SEED).alias("h")).collect()}
+    held = {g: set() for g in caps}
+    for i, *labels in rows:
+        for f, v in zip(("category", "kind"), labels):
+            held.get(f"{f}\x1f{v and v.strip().lower()}", set()).add(i)
+    seen = {}
+    for r in plain:
+        if r["n"] is not None:
+            seen[r["g"]] = seen.get(r["g"], 0) + r["n"]
+    assert seen == {g: len(x) for g, x in held.items()} | {None: 3000}
+    for g, cap in caps.items():
+        got, best = {r["entity"] for r in plain if r["g"] == g and r["n"] is None}, sorted(held[g], key=h.get)[:cap]
+        assert set(best) <= got <= held[g] and len(got) <= cap * 4
+    assert next(r["h"] for r in plain if r["entity"]) == h[next(r["entity"] for r in plain if r["entity"])]
+
+
 def test_mixing(spark):
     r = random.Random(1)
     rows = [(i, "big" if i % 3 else "small", r.randrange(1, 90)) for i in range(900)] + [(1000, None, 50), (1001, "big", 0)]

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.thresholds import budget_thresholds, hash_of, histogram
-from waymark.runtime import cut_lineage
+from waymark.runtime import bounded_table, cut_lineage
 
 SEED = 23
+MAX_TARGETS = 10_000
 
 
 def _items(sizes: DataFrame, seed: int) -> DataFrame:
@@ -43,7 +44,7 @@ def _deal(sizes: DataFrame, targets: DataFrame, seed: int) -> tuple[DataFrame, D
     """The plans and the documents used; both from one histogram of tokens by source and hash bucket."""
     items = _items(sizes, seed)
     sums = cut_lineage(histogram(items))
-    plans = _plans(sums, targets)
+    plans = bounded_table(_plans(sums, targets), MAX_TARGETS, "the table of mixes")
     budgets = plans.select(F.col("mix_id").alias("plan"), F.col("source").alias("g"), F.col("rest_tokens").alias("budget"))
     cut = budget_thresholds(items.select("g", "h", "size"), budgets, sums)
     rule = plans.join(cut.select(F.col("plan").alias("mix_id"), F.col("g").alias("source"), "tau"), ["mix_id", "source"]).select("mix_id", "source", "copies", "rest_tokens", "tau")

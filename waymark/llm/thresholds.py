@@ -4,6 +4,8 @@ Sizes are summed by (group, leading bits of the hash): the sums merge by additio
 large it is. Running sums give the bucket in which a budget ends; only that bucket's items are looked at again, by the next
 bits; what is left is one cell of one in 16 million of a group, whose items are put in order. The result per budget is a single
 hash value: items up to it are in. Budgets of one group are nested, as they cut the same order.
+
+Budgets and the cells where they end are one row a budget; more than MAX_BUDGETS are an error, so what is broadcast is bounded.
 """
 
 from __future__ import annotations
@@ -11,6 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.runtime import bounded_table
+
+MAX_BUDGETS = 100_000
 BITS = 12
 LOWEST = -(2**63)
 
@@ -45,12 +50,12 @@ def budget_thresholds(items: DataFrame, budgets: DataFrame, sums: DataFrame | No
     budget. tau is null where all of g fits (h <= tau must then be read as true) and the lowest number where nothing does."""
     items = items.withColumns({"b0": _bucket(F.col("h"), 0), "b1": _bucket(F.col("h"), 1)})
     plan = ["plan", "g"]
-    budgets = budgets.select("plan", "g", F.col("budget").cast("double").alias("left"))
+    budgets = bounded_table(budgets.select("plan", "g", F.col("budget").cast("double").alias("left")), MAX_BUDGETS, "the table of budgets")
     sums = histogram(items) if sums is None else sums
-    edge0 = _edge(budgets.join(sums, "g"), plan, "b0")
+    edge0 = bounded_table(_edge(sums.join(budgets, "g"), plan, "b0"), MAX_BUDGETS, "the list of buckets")
     sums = items.join(F.broadcast(edge0.select("g", "b0").distinct()), ["g", "b0"]).groupBy("g", "b0", "b1").agg(F.sum("size").cast("double").alias("size"))
-    edge1 = _edge(edge0.join(sums, ["g", "b0"]), [*plan, "b0"], "b1")
-    cell = items.join(F.broadcast(edge1), ["g", "b0", "b1"])
+    edge1 = bounded_table(_edge(sums.join(edge0, ["g", "b0"]), [*plan, "b0"], "b1"), MAX_BUDGETS, "the list of cells")
+    cell = items.join(edge1, ["g", "b0", "b1"])
     w = Window.partitionBy(*plan).orderBy("h").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     inside = cell.withColumn("upto", F.sum("size").over(w)).groupBy(*plan).agg(F.max(F.when(F.col("upto") <= F.col("left"), F.col("h"))).alias("tau"))
     floor = F.shiftleft(F.col("b0") * F.lit(2**BITS) + F.col("b1"), 64 - 2 * BITS).bitwiseXOR(F.lit(LOWEST))
