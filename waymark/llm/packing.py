@@ -2,11 +2,12 @@
 
 Only the histogram of lengths goes to the driver: at most `capacity` numbers, however many items there are. Two plans come from it:
 
-* length_buckets: a dynamic programme chooses the bucket boundaries that leave least space unused when every bucket forms its own
-  batches under the token budget;
-* best_fit: lengths from the longest down, each into the containers with the least room that still holds it, whole groups of
-  equally filled containers at a time. A bucket's containers can then take items of any shorter bucket, which buckets by
-  themselves can't; it is what fills containers best, so it is the default (figures in the README).
+* filled_buckets, the default: a dynamic programme chooses the bucket boundaries that leave least padding, where each bucket costs
+  half a container besides (what its last batch leaves open on average). Every item takes the room of its bucket's boundary.
+  Batches form under the token budget inside each bucket, from the longest down, and the room that a bucket's batches leave goes to
+  the next shorter buckets it fits before these open batches of their own.
+* length_buckets: the same programme for buckets that never share a batch: it counts whole batches, so long items leave much open.
+* best_fit: every length is a bucket of its own, so nothing is padded; what the others can be measured against.
 
 Items get a rank within their length (hash buckets of bounded size and an offset each, so no length is ranked in one task) and
 the plan maps (length, rank) to a container. An item longer than the capacity is cut into full pieces and a rest, which is packed
@@ -54,6 +55,47 @@ def length_buckets(histogram: dict[int, int], capacity: int) -> tuple[Plan, int]
     return sorted(plan), base
 
 
+def boundaries(histogram: dict[int, int], capacity: int) -> list[int]:
+    """The longest length of each bucket, ascending: least padding plus half a container a bucket."""
+    lengths = np.array(sorted(histogram))
+    n = np.concatenate([[0], np.cumsum([histogram[x] for x in lengths.tolist()])]).astype(float)
+    filled = np.concatenate([[0], np.cumsum([x * histogram[x] for x in lengths.tolist()])]).astype(float)
+    best, cut = np.zeros(len(lengths) + 1), np.zeros(len(lengths) + 1, int)
+    for j in range(1, len(lengths) + 1):
+        cost = best[:j] + lengths[j - 1] * (n[j] - n[:j]) - (filled[j] - filled[:j]) + capacity / 2
+        cut[j] = int(np.argmin(cost))
+        best[j] = cost[cut[j]]
+    bounds, j = [], len(lengths)
+    while j:
+        bounds.append(int(lengths[j - 1]))
+        j = int(cut[j])
+    return bounds[::-1]
+
+
+def filled_buckets(histogram: dict[int, int], capacity: int) -> tuple[Plan, int]:
+    """The plan and its number of containers: ranks run through a bucket's lengths in order."""
+    bounds = boundaries(histogram, capacity)
+    inside: dict[int, list[int]] = {}
+    for x in sorted(histogram):
+        inside.setdefault(bounds[bisect.bisect_left(bounds, x)], []).append(x)
+    by_bucket, total = best_fit({b: sum(histogram[x] for x in xs) for b, xs in inside.items()}, capacity)
+    stretches: dict[int, list[tuple[int, int, int, int]]] = {}
+    for b, first, base, start, per in by_bucket:
+        stretches.setdefault(b, []).append((first, base, start, per))
+    plan: Plan = []
+    for b, xs in inside.items():
+        ahead, own = 0, stretches[b]
+        for x in xs:
+            at = bisect.bisect_right(own, (ahead, float("inf"))) - 1
+            while at < len(own) and own[at][0] < ahead + histogram[x]:
+                first, base, start, per = own[at]
+                skip = max(0, ahead - first)
+                plan.append((x, max(0, first - ahead), base, start + skip, per))
+                at += 1
+            ahead += histogram[x]
+    return sorted(plan), total
+
+
 def best_fit(histogram: dict[int, int], capacity: int) -> tuple[Plan, int]:
     """The plan and its number of containers. Groups of equally filled neighbouring containers are kept by the room they have."""
     plan: Plan = []
@@ -102,7 +144,7 @@ def pieces(sizes: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     return parts.select(key, F.col("piece").cast("int").alias("piece"), F.when(F.col("piece") < F.col("_whole"), capacity).otherwise(F.col("_size") - F.col("_whole") * capacity).cast("int").alias("length"))
 
 
-def pack(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY, planner=best_fit) -> DataFrame:
+def pack(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY, planner=filled_buckets) -> DataFrame:
     """(key, piece, length, container) of every item with a length. sizes should be cheap to read twice."""
     items = pieces(sizes, key, size, capacity)
     histogram = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}
