@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from waymark.llm import grouped_splits as g
@@ -87,3 +88,24 @@ def test_assignment(spark):
     assert abs(n["train"] / 6000 - 0.8) < 0.03 and abs(n["val"] / 6000 - 0.1) < 0.03
     empty = g.row_groups(df.limit(0), "k", "land", F.col("image"), F.col("label"))
     assert g.assign_groups(empty).count() == 0
+
+
+def test_shares_of_strata_meet_what_is_open():
+    counts = np.array([[60.0, 20, 0], [10, 50, 5], [0, 0, 30]])
+    for shares in ([0.8, 0.1, 0.1], [0.5, 0.3, 0.2]):
+        open_ = np.outer(shares, counts.sum(axis=0))
+        x = g.shares_of_strata(counts, open_)
+        assert np.allclose(x.sum(axis=0), 1) and np.allclose(x @ counts, open_, atol=1e-6)
+    skewed = np.outer([0.8, 0.1, 0.1], counts.sum(axis=0)) - np.array([[12.0, 0, 0], [0, 0, 0], [0, 0, 0]])  # a large group took some
+    assert np.abs(g.shares_of_strata(counts, skewed) @ counts - skewed / skewed.sum(axis=0) * counts.sum(axis=0)).max() < 0.5
+    assert np.allclose(g.shares_of_strata(np.zeros((2, 2)), np.zeros((3, 2))).sum(axis=0), 1)
+
+
+def test_one_group_and_no_record_hold_most_rows(spark):
+    rows = [(i, 1 if i % 2 else None, None if i % 3 else i % 40, "x" if i % 5 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k bigint, land bigint, image bigint, label string").repartition(4)
+    members = g.row_groups(df, "k", "land", F.col("image"), F.col("label"))
+    placed = {r["key"]: r["split"] for r in g.split_rows(members).collect()}
+    assert len(placed) == 3000 and len({placed[k] for k, land, _, _ in rows if land == 1}) == 1
+    for image in range(40):
+        assert len({placed[k] for k, _, i, _ in rows if i == image}) <= 1
