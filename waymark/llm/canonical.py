@@ -1,10 +1,13 @@
 """Free-entered values mapped to a canonical list, unmatched ones reported.
 
 Values are deduplicated, so the cost follows spellings rather than rows. A value and every form of a canonical entry are
-normalised alike; character n-grams of the forms make an inverted index whose postings give candidates and, weighted by rarity,
-their cosine. Candidates above a threshold, as many as there are, are checked exactly: at most two slips of the pen (a letter more, less, other, or
-two swapped), in the order written or with the words sorted. A value is accepted where its best entry is ahead of the next one
-by a margin; else it is reported as unmatched (the empty string).
+normalised alike; character n-grams of the forms make an inverted index whose postings, weighted by rarity, give the cosine of
+every form that shares a gram with the value, for a block of values at a time (a sparse product). The value is accepted as the
+entry of greatest cosine where that is at least ACCEPT and ahead of every other entry by LEAD, unless it has too many or too few
+letters (repeated parts have equal grams). Cosines that don't decide are
+followed by an exact check of all forms that share a gram and whose letters allow it: at most two slips of the pen (a letter more,
+less, other, or two swapped), in the order written or with the words sorted; the best must be ahead by a slip, or by MARGIN in
+cosine. A value that passes neither is reported as unmatched (the empty string).
 
 Forms by rule: the entry itself; "A, B of" also as "B of A", as "A" and with B's initials; its code, where it has one, letter by
 letter; its aliases. A value may carry an article, a qualifier in brackets behind it, common abbreviations of the words that
@@ -25,9 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_ENTRIES = 100_000
+MAX_ENTRIES = 20_000
+ACCEPT = 0.66
+LEAD = 0.1
 MIN_COSINE = 0.05
 MARGIN = 0.05
+HITS = 4_000_000  # postings taken together
 MAX_SLIPS = 2
 PAIRS = 50_000  # compared at a time
 
@@ -67,12 +73,14 @@ def entry_forms(name: str, short: dict[str, str]) -> set[str]:
     return {" ".join(words(f, short)) for f in forms} - {""}
 
 
-def grams(text: str) -> list[str]:
-    out = []
+def grams(text: str) -> set[str]:
+    """Letters, neighbouring letters and letters with one between, by word; ends of words count as letters of pairs."""
+    out = set()
     for w in text.split():
-        w = f"^{w}$"
-        out += [w[i : i + n] for n in (2, 3) for i in range(len(w) - n + 1)]
-        out += list(w[1:-1])
+        p = f"^{w}$"
+        out.update(w)
+        out.update(p[i : i + 2] for i in range(len(p) - 1))
+        out.update(f"{x}_{y}" for x, y in zip(p, p[2:]))
     return out
 
 
@@ -134,6 +142,8 @@ class Matcher:
         self.forms = [f for f, _ in pairs]
         self.sorted = [" ".join(sorted([w for w in f.split() if w not in SMALL] or f.split())) for f in self.forms]
         self.targets = [t for _, t in pairs]
+        self.names = sorted(set(self.targets))
+        self.target = np.searchsorted(np.array(self.names, object), np.array(self.targets, object)) if self.names else np.zeros(0, np.int64)
         self.exact: dict[str, set[str]] = {}
         for f, t in zip(self.sorted, self.targets):
             self.exact.setdefault(f, set()).add(t)
@@ -143,7 +153,7 @@ class Matcher:
         self.gram: dict[str, int] = {}
         rows, cols = [], []
         for i, f in enumerate(self.forms):
-            for g in set(grams(f)):
+            for g in grams(f):
                 rows.append(self.gram.setdefault(g, len(self.gram)))
                 cols.append(i)
         rows, cols = np.array(rows, np.int64), np.array(cols, np.int64)
@@ -155,25 +165,47 @@ class Matcher:
         self.letters, self.sorted_letters = letter_counts(self.forms), letter_counts(self.sorted)
         self.norm = np.sqrt(np.bincount(cols, self.idf[rows] ** 2, len(self.forms)))
 
+    def _cosines(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, form, cosine) of all forms with at least MIN_COSINE: values by grams times grams by forms."""
+        of, gram, norm = [], [], np.zeros(len(texts))
+        for k, text in enumerate(texts):
+            gs = grams(text)
+            ids = sorted(self.gram[g] for g in gs if g in self.gram)
+            of += [k] * len(ids)
+            gram += ids
+            norm[k] = np.sqrt((self.idf[ids] ** 2).sum() + (len(gs) - len(ids)) * self.rare**2)
+        of, gram = np.array(of, np.int64), np.array(gram, np.int64)
+        many = self.begin[gram + 1] - self.begin[gram]
+        found = []
+        upto = np.cumsum(np.bincount(of, many, len(texts)))
+        first = 0
+        while first < len(texts):
+            stop = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + HITS, side="right")))
+            stop = min(stop, first + max(1, HITS // max(1, len(self.forms))))
+            at = slice(*np.searchsorted(of, [first, stop]))
+            g, m = gram[at], many[at]
+            hit = self.posting[np.repeat(self.begin[g] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())] if len(g) else np.zeros(0, np.int64)
+            product = np.bincount(np.repeat(of[at] - first, m) * len(self.forms) + hit, np.repeat(self.idf[g] ** 2, m), (stop - first) * len(self.forms)).reshape(stop - first, len(self.forms))
+            cosine = product / np.maximum(1e-12, norm[first:stop, None] * self.norm)
+            row, form = np.nonzero((cosine >= MIN_COSINE) & (product > 0))
+            found.append((row + first, form, cosine[row, form]))
+            first = stop
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    def _allowed(self, texts: list[tuple[str, str]], of: np.ndarray, form: np.ndarray) -> np.ndarray:
+        """Which pairs' letters allow for two slips, as written or with the words sorted."""
+        apart = np.full(len(of), MAX_SLIPS + 1)
+        for which, letters in ((0, self.letters), (1, self.sorted_letters)):
+            more = letters[form] - letter_counts([t[which] for t in texts])[of]
+            apart = np.minimum(apart, np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1)))
+        return apart <= MAX_SLIPS
+
     def _candidates(self, texts: list[tuple[str, str]]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(forms, cosines) of each text, given as written and with its words sorted: all whose letters allow for two slips."""
-        out = []
-        for text, ordered in texts:
-            gs = set(grams(text))
-            ids = np.array([self.gram[g] for g in gs if g in self.gram], np.int64)
-            norm = np.sqrt((self.idf[ids] ** 2).sum() + (len(gs) - len(ids)) * self.rare**2)
-            hit = np.concatenate([self.posting[self.begin[g] : self.begin[g + 1]] for g in ids]) if len(ids) else np.zeros(0, np.int64)
-            weight = np.repeat(self.idf[ids] ** 2, self.begin[ids + 1] - self.begin[ids])
-            forms, at = np.unique(hit, return_inverse=True)
-            cosine = np.bincount(at, weight, len(forms)) / np.maximum(1e-12, norm * self.norm[forms])
-            best = np.flatnonzero(cosine >= MIN_COSINE)
-            apart = np.full(len(best), MAX_SLIPS + 1)
-            for own, letters in ((text, self.letters), (ordered, self.sorted_letters)):
-                more = letters[forms[best]] - letter_counts([own])
-                apart = np.minimum(apart, np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1)))
-            best = best[apart <= MAX_SLIPS]
-            out.append((forms[best], cosine[best]))
-        return out
+        """(forms, cosines) of each text, given as written and with its words sorted, that the exact check looks at."""
+        of, form, cosine = self._cosines([w for w, _ in texts])
+        ok = self._allowed(texts, of, form)
+        of, form, cosine = of[ok], form[ok], cosine[ok]
+        return [(form[of == k], cosine[of == k]) for k in range(len(texts))]
 
     def match(self, values: list[str]) -> list[str]:
         result = [""] * len(values)
@@ -190,16 +222,32 @@ class Matcher:
                 result[i] = next(iter(whole[0])) if len(whole[0]) == 1 else ""
                 continue
             asked += [(i, w, s) for w, s in written if len(w) >= 4]
-        for part in range(0, len(asked), 2000):
-            self._fuzzy(asked[part : part + 2000], result)
+        if self.forms:
+            for part in range(0, len(asked), 2000):
+                self._near(asked[part : part + 2000], result)
         return result
 
-    def _fuzzy(self, asked: list[tuple[int, str, str]], result: list[str]) -> None:
-        of, form, cosine = [], [], []
-        for k, (f, c) in enumerate(self._candidates([(w, s) for _, w, s in asked])):
-            of += [k] * len(f)
-            form += f.tolist()
-            cosine += c.tolist()
+    def _near(self, asked: list[tuple[int, str, str]], result: list[str]) -> None:
+        """The values' entries by cosine, else by the exact check."""
+        value = np.array([i for i, _, _ in asked], np.int64)
+        of, form, cosine = self._cosines([w for _, w, _ in asked])
+        code = value[of] * len(self.names) + self.target[form]  # a value and an entry
+        order = np.lexsort((-cosine, code))
+        best = order[np.append(True, np.diff(code[order]) != 0)] if len(order) else order  # greatest cosine of each
+        best = best[np.lexsort((-cosine[best], value[of[best]]))]
+        head = np.flatnonzero(np.append(True, np.diff(value[of[best]]) != 0)) if len(best) else best
+        top = cosine[best[head]]
+        after = np.where(np.append(head[1:], len(best)) - head > 1, cosine[best[np.minimum(head + 1, len(best) - 1)]], 0.0) if len(head) else top
+        firsts = best[head]
+        sure = (top >= ACCEPT) & (top - after >= LEAD) & self._allowed([(w, s) for _, w, s in asked], of[firsts], form[firsts])
+        for n in best[head[sure]]:
+            result[value[of[n]]] = self.names[self.target[form[n]]]
+        rest = ~np.isin(value[of], value[of[best[head[sure]]]])
+        of, form, cosine = of[rest], form[rest], cosine[rest]
+        ok = self._allowed([(w, s) for _, w, s in asked], of, form)
+        self._exact(asked, of[ok], form[ok], cosine[ok], result)
+
+    def _exact(self, asked: list[tuple[int, str, str]], of: np.ndarray, form: np.ndarray, cosine: np.ndarray, result: list[str]) -> None:
         d: list[int] = []
         for part in range(0, len(of), PAIRS):
             near = range(part, min(part + PAIRS, len(of)))
@@ -217,11 +265,15 @@ class Matcher:
 
 
 def map_values(values: DataFrame, matcher: Matcher) -> DataFrame:
-    """values: value (not null). (value, canonical) of each distinct value; '' where it means no entry."""
-    shared = values.sparkSession.sparkContext.broadcast(matcher)
+    """values: value (not null). (value, canonical, n) of each distinct value, with the rows that hold it; '' where it means no entry.
+
+    The distinct values are spread over as many tasks as a shuffle has, however little they weigh: matching takes time, not space."""
+    session = values.sparkSession
+    shared = session.sparkContext.broadcast(matcher)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array(shared.value.match(batch.column(0).to_pylist()), pa.string())], names=["value", "canonical"])
+            yield pa.record_batch([batch.column(0), pa.array(shared.value.match(batch.column(0).to_pylist()), pa.string()), batch.column(1)], names=["value", "canonical", "n"])
 
-    return values.select("value").distinct().mapInArrow(run, "value string, canonical string")
+    distinct = values.groupBy("value").agg(F.count("*").alias("n"))
+    return distinct.repartition(int(session.conf.get("spark.sql.shuffle.partitions")), "value").mapInArrow(run, "value string, canonical string, n bigint")

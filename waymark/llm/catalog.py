@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from waymark.llm import canonical, grouped_splits, mixing, packing, quality, sam
 from waymark.llm.tokens import token_counts
 from waymark.plans.data_problems import canonical_tags
 from waymark.operators.packed import explode_packed
-from waymark.runtime import bounded_rows, cut_lineage, table
+from waymark.runtime import bounded_rows, bounded_table, cut_lineage, join_counted, table
 
 POOL_FIELDS = ["category", "continent", "country"]
 
@@ -27,12 +29,7 @@ def p1_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per target what was wanted, what there is, what was drawn, and the share reached."""
-    asked = sampling.quotas(_pool(spark, sf_dir), table(spark, sf_dir, "sample_target"), "id", POOL_FIELDS)
-    got = p1_sample(spark, sf_dir).groupBy("plan_id", "field_name", "field_value").agg(F.count("*").alias("drawn"))
-    r = asked.join(got, ["plan_id", "field_name", "field_value"], "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
-    whole = r.groupBy("plan_id").agg(F.sum("drawn").alias("plan_drawn"))
-    return r.join(F.broadcast(whole), "plan_id").select("plan_id", "field_name", "field_value", "wanted", "available", "drawn", F.try_divide("drawn", "plan_drawn").alias("share"), "met")
+    return sampling.report(_pool(spark, sf_dir), table(spark, sf_dir, "sample_target"), "id", POOL_FIELDS)
 
 
 def p5_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +49,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = cut_lineage(grouped_splits.row_groups(table(spark, sf_dir, "datasplit"), "row_id", "landmark_id", grouped_splits.image_key("id"), sampling.plain("pred_label")))
-    split = grouped_splits.assign_groups(grouped)
-    return grouped.join(split, ["kind", "grp"]).select(F.col("key").alias("row_id"), "kind", "grp", "label", "split")
+    return grouped_splits.split_rows(grouped).select(F.col("key").alias("row_id"), "kind", "grp", "label", "split")
 
 
 def p6_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,18 +80,20 @@ def _typed(spark: SparkSession, sf_dir: str, tags: list[str]) -> DataFrame:
 
 
 def p7_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every value with its canonical entry ('' where it means none) and whether it was written as the entry is."""
+    """Every value with its canonical entry ('' where it means none) and whether it was written as the entry is.
+
+    Values written as an entry meet a broadcast list; the others are mapped once each, and rows of a heavy value aren't shuffled."""
     found = _matchers(spark, sf_dir)
     rows = _typed(spark, sf_dir, found["wikidata.instance_tag"][1])
     parts = []
     for field, (matcher, entries) in found.items():
         own = rows.where(F.col("field") == field)
-        exact = spark.createDataFrame([(e, matcher.raw[e]) for e in entries], "value string, entry string").dropDuplicates(["value"])
-        split = own.join(F.broadcast(exact), "value", "left")
-        mapped = canonical.map_values(split.where("entry is null"), matcher)
-        both = split.join(mapped, "value", "left").select("field", "row_id", "pos", "value", F.coalesce("entry", "canonical").alias("canonical"), F.col("entry").isNotNull().alias("as_written"))
-        parts.append(both)
-    return parts[0].unionByName(parts[1])
+        exact = bounded_table(spark.createDataFrame([(e, matcher.raw[e]) for e in entries], "value string, canonical string").dropDuplicates(["value"]), canonical.MAX_ENTRIES, "the canonical list")
+        written = own.join(exact, "value").withColumn("as_written", F.lit(True))
+        other = own.join(exact.select("value"), "value", "left_anti")
+        mapped = cut_lineage(canonical.map_values(other.select("value"), matcher))
+        parts += [written, join_counted(other, mapped, ["value"]).withColumn("as_written", F.lit(False))]
+    return reduce(DataFrame.unionByName, [p.select("field", "row_id", "pos", "value", "canonical", "as_written") for p in parts])
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,8 +120,8 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How full the containers get, by plan."""
     sizes = _sizes(spark, sf_dir)
-    one = lambda name, planner: packing.fill_report(packing.pack(sizes, "doc_id", "n_tokens", planner=planner)).select(F.lit(name).alias("plan"), "*")
-    return one("best_fit", packing.best_fit).unionByName(one("length_buckets", packing.length_buckets))
+    one = lambda planner: packing.fill_report(packing.pack(sizes, "doc_id", "n_tokens", planner=planner)).select(F.lit(planner.__name__).alias("plan"), "*")
+    return reduce(DataFrame.unionByName, map(one, (packing.filled_buckets, packing.length_buckets, packing.best_fit)))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
