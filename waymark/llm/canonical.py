@@ -276,4 +276,4 @@ def map_values(values: DataFrame, matcher: Matcher) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array(shared.value.match(batch.column(0).to_pylist()), pa.string()), batch.column(1)], names=["value", "canonical", "n"])
 
     distinct = values.groupBy("value").agg(F.count("*").alias("n"))
-    return distinct.repartition(int(session.conf.get("spark.sql.shuffle.partitions")), "value").mapInArrow(run, "value string, canonical string, n bigint")
+    return distinct.repartition(int(session.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(run, "value string, canonical string, n bigint")
