@@ -19,8 +19,11 @@ def write_csv(df: DataFrame, path: str) -> None:
     flat_lists(df).write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
-def write_wrapped_json(df: DataFrame, path: str, name: str = "data") -> None:
-    """{"data": [...]} in one file: for results that are meant to be read whole. Large tables go out as JSON lines."""
+def write_wrapped_json(df: DataFrame, path: str, name: str = "data", max_rows: int = 1_000_000) -> None:
+    """{"data": [...]} in one file: for results that are meant to be read whole; more than max_rows rows are an error. Large
+    tables go out as JSON lines."""
+    if df.limit(max_rows + 1).count() > max_rows:
+        raise ValueError(f"more than {max_rows} rows for one JSON document")
     one = df.agg(F.collect_list(F.struct(*df.columns)).alias(name))
     one.select(F.to_json(F.struct(name)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
@@ -39,16 +42,47 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def _rename(fs, one, two) -> None:
+    if not fs.rename(one, two):
+        raise OSError(f"could not rename {one} to {two}")
+
+
+def _recover(spark: SparkSession, path: str):
+    """(file system, path, path of the old table), after what a crash within swap() left there has been put right."""
+    at, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.old"))
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(old):
+        if fs.exists(at):  # the new table is in place
+            fs.delete(old, True)
+        else:  # it isn't: the old one is the last good
+            _rename(fs, old, at)
+    return fs, at, old
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at `path`, None where there is none. One that is there but can't be read is an error."""
+    fs, at, _ = _recover(spark, path)
+    return spark.read.parquet(path) if fs.exists(at) else None
+
+
 def swap(spark: SparkSession, path: str, df: DataFrame) -> None:
-    """Replaces the table at `path` by df, which may be made from it: a new folder first, then two renames."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    new, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
-    df.write.parquet(new)
-    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(fs_path(path)):
-        fs.rename(fs_path(path), fs_path(old))
-    fs.rename(fs_path(new), fs_path(path))
-    fs.delete(fs_path(old), True)
+    """Replaces the table at `path` by df, which may be made from it: a new folder first, then two renames.
+
+    At every moment the old or the new table is whole under `path` or `path`.old; stored() and the next swap() put right what a
+    crash between the renames leaves. One writer at a time."""
+    fs, at, old = _recover(spark, path)
+    new = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.new")
+    df.write.parquet(new.toString())
+    there = fs.exists(at)
+    if there:
+        _rename(fs, at, old)
+    try:
+        _rename(fs, new, at)
+    except OSError:
+        if there:
+            _rename(fs, old, at)
+        raise
+    fs.delete(old, True)
     spark.catalog.refreshByPath(path)
 
 
