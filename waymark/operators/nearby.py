@@ -1,12 +1,14 @@
 """Points near other points, and the region that holds a point.
 
-Near pairs: coordinates become unit vectors; a bounded sample gives the planes of a k-d tree over all of them; each distinct
+Near pairs: coordinates become unit vectors; a sample, a few locations a cell, gives the planes of a k-d tree over all of them; each distinct
 location goes to its cell and, where it lies within the radius of a plane, as a halo copy to the cells beyond; each cell then
 joins itself with a local k-d tree by chord length. A pair is found exactly once: in the cell that owns its smaller location.
+Counts of neighbours need no pairs at all: a cell holds whatever is near the locations it owns, with how many rows each stands for.
 The sample only balances the cells; it never changes the result.
 
-Regions: a sweep over longitude cuts the plane into slabs between neighbouring corners; each slab knows the polygon edges
-that cross it; a point counts the edges of its slab below it, by region, and lies inside where that count is odd.
+Regions: zones are cut into bands of latitude; in each band a sweep over longitude cuts the plane into slabs between neighbouring
+corners; each slab knows the polygon edges that cross it; a point counts the edges of its slab below it, by region, and lies
+inside where that count is odd.
 
 Null, NaN and out-of-range coordinates are not usable: such rows are in no pair and no zone. Equal coordinates are near each
 other at distance 0. The poles and the 180th meridian need no care in the vectors; rings that cross the meridian are unrolled.
@@ -14,7 +16,7 @@ other at distance 0. The poles and the 180th meridian need no care in the vector
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -22,10 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.runtime import bounded_rows, cut_lineage, join_counted
+
 #: Mean radius of the Earth in metres (fixed value).
 EARTH_M = 6_371_008.8
-#: The sample for the planes holds about so many locations at most.
-SAMPLE = 60_000
+#: Sampled locations for each cell of the k-d tree, and most cells: their planes have a few MB.
+SAMPLE_PER_CELL, MAX_CELLS = 6, 2**19
+#: Most edges in the slabs of a zone table, which is broadcast.
+MAX_EDGES = 20_000_000
 LEAF_BLOCK = 32
 
 
@@ -124,35 +130,49 @@ def close_pairs(points: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarra
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def near_locations(df: DataFrame, lat: str, lon: str, metres: float, per_cell: int = 8192) -> DataFrame:
-    """(lat_1, lon_1, lat_2, lon_2, metres) of the pairs of different usable locations at most `metres` apart, once each."""
-    places = df.select(F.col(lat).alias("lat"), F.col(lon).alias("lon")).where(usable(F.col("lat"), F.col("lon")))
-    places = places.select((F.col("lat") + 0.0).alias("lat"), (F.col("lon") + 0.0).alias("lon")).distinct()
-    total = df.count()
-    sample = places.sample(min(1.0, 0.9 * SAMPLE / max(1, total)), 17).limit(SAMPLE).toPandas()
-    # at least a few cells to share among the cores, and no more than the sample can place
-    leaves = int(min(max(16, total / per_cell), max(1, len(sample) / 8)))
+def _cells(places: DataFrame, total: int, reach: float, per_cell: int, keep: str = "") -> DataFrame:
+    """(cell, own, lat, lon and, where named, a bigint column) of each location in its own cell and as halo copies."""
+    wanted = int(min(MAX_CELLS, max(16, total / per_cell)))
+    share = min(1.0, SAMPLE_PER_CELL * wanted / max(1, total))
+    sample = places.select("lat", "lon").sample(share, 17).limit(2 * SAMPLE_PER_CELL * MAX_CELLS).toPandas()
+    leaves = min(wanted, max(1, len(sample) // 2))
     planes = Planes(unit_vectors(sample["lat"].to_numpy(float), sample["lon"].to_numpy(float)), leaves)
-    reach = chord(metres) * (1 + 1e-9) + 1e-12
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             at, leaf, own = planes.cells(unit_vectors(x, y), reach)
-            yield pa.record_batch([pa.array(leaf), pa.array(own), pa.array(x[at]), pa.array(y[at])], names=["cell", "own", "lat", "lon"])
+            more = [batch.column(2).take(pa.array(at))] if keep else []
+            yield pa.record_batch([pa.array(leaf), pa.array(own), pa.array(x[at]), pa.array(y[at]), *more], names=["cell", "own", "lat", "lon", *([keep] if keep else [])])
+
+    return places.select("lat", "lon", *([keep] if keep else [])).mapInArrow(spread, "cell bigint, own boolean, lat double, lon double" + (f", {keep} bigint" if keep else ""))
+
+
+def _reach(metres: float) -> float:
+    return chord(metres) * (1 + 1e-9) + 1e-12
+
+
+def _ground(d: np.ndarray) -> np.ndarray:
+    return 2 * EARTH_M * np.arcsin(np.minimum(1, d / 2))
+
+
+def near_locations(df: DataFrame, lat: str, lon: str, metres: float, per_cell: int = 8192) -> DataFrame:
+    """(lat_1, lon_1, lat_2, lon_2, metres) of the pairs of different usable locations at most `metres` apart, once each."""
+    places = df.select(F.col(lat).alias("lat"), F.col(lon).alias("lon")).where(usable(F.col("lat"), F.col("lon")))
+    places = places.select((F.col("lat") + 0.0).alias("lat"), (F.col("lon") + 0.0).alias("lon")).distinct()
+    reach = _reach(metres)
 
     def join(cell: pd.DataFrame) -> pd.DataFrame:
         x, y, own = cell["lat"].to_numpy(), cell["lon"].to_numpy(), cell["own"].to_numpy()
         i, j, d = close_pairs(unit_vectors(x, y), reach)
         swap = (x[j] < x[i]) | ((x[j] == x[i]) & (y[j] < y[i]))
         i, j = np.where(swap, j, i), np.where(swap, i, j)
-        ground = 2 * EARTH_M * np.arcsin(np.minimum(1, d / 2))
+        ground = _ground(d)
         ok = own[i] & (ground <= metres)
         i, j = i[ok], j[ok]
         return pd.DataFrame({"lat_1": x[i], "lon_1": y[i], "lat_2": x[j], "lon_2": y[j], "metres": ground[ok]})
 
-    cells = places.mapInArrow(spread, "cell bigint, own boolean, lat double, lon double")
-    return cells.groupBy("cell").applyInPandas(join, "lat_1 double, lon_1 double, lat_2 double, lon_2 double, metres double")
+    return _cells(places, df.count(), reach, per_cell).groupBy("cell").applyInPandas(join, "lat_1 double, lon_1 double, lat_2 double, lon_2 double, metres double")
 
 
 def near_rows(df: DataFrame, key: str, entity: str, lat: str, lon: str, metres: float) -> DataFrame:
@@ -171,24 +191,36 @@ def near_rows(df: DataFrame, key: str, entity: str, lat: str, lon: str, metres:
     return both.select(F.least("k1", "k2").alias(f"{key}_1"), F.greatest("k1", "k2").alias(f"{key}_2"))
 
 
-def near_counts(df: DataFrame, key: str, lat: str, lon: str, metres: float) -> DataFrame:
+def near_counts(df: DataFrame, key: str, lat: str, lon: str, metres: float, keep: Sequence[str] = (), per_cell: int = 8192) -> DataFrame:
     """One row per row of df: n_here (rows at the very location, itself included), n_near (rows at other locations within
-    `metres`) and nearest_m (distance to the nearest other location within). All null where the location is not usable.
+    `metres`) and nearest_m (distance to the nearest other location within), and the columns to keep. All null where the
+    location is not usable.
 
-    Rows count through their location, so a crowded place costs one location however many rows it holds."""
+    Rows count through their location, so a crowded place costs one location however many rows it holds, and its rows aren't
+    shuffled to learn its counts. Neighbours are counted where the cell finds them; no pair leaves it."""
     ok = usable(F.col(lat), F.col(lon))
-    rows = df.select(F.col(key), F.when(ok, F.col(lat) + 0.0).alias("x"), F.when(ok, F.col(lon) + 0.0).alias("y"))
-    here = rows.where("x is not null").groupBy("x", "y").agg(F.count("*").alias("n_here"))
-    pairs = near_locations(df, lat, lon, metres)
-    ways = pairs.unionByName(pairs.select(F.col("lat_2").alias("lat_1"), F.col("lon_2").alias("lon_1"), F.col("lat_1").alias("lat_2"), F.col("lon_1").alias("lon_2"), "metres"))
-    other = here.select(F.col("x").alias("lat_2"), F.col("y").alias("lon_2"), F.col("n_here").alias("n"))
-    near = ways.join(other, ["lat_2", "lon_2"]).groupBy(F.col("lat_1").alias("x"), F.col("lon_1").alias("y")).agg(F.sum("n").alias("n_near"), F.min("metres").alias("nearest_m"))
-    per_place = here.join(near, ["x", "y"], "left").select("x", "y", "n_here", F.coalesce("n_near", F.lit(0)).alias("n_near"), "nearest_m")
-    return rows.join(per_place, ["x", "y"], "left").select(key, "n_here", "n_near", "nearest_m")
+    rows = df.select(F.col(key), F.when(ok, F.col(lat) + 0.0).alias("__x"), F.when(ok, F.col(lon) + 0.0).alias("__y"), *keep)
+    here = cut_lineage(rows.where("__x is not null").groupBy(F.col("__x").alias("lat"), F.col("__y").alias("lon")).agg(F.count("*").alias("n")))
+    reach = _reach(metres)
+
+    def count(cell: pd.DataFrame) -> pd.DataFrame:
+        x, y, own, n = (cell[c].to_numpy() for c in ("lat", "lon", "own", "n"))
+        i, j, d = close_pairs(unit_vectors(x, y), reach)
+        ground = _ground(d)
+        fine = ground <= metres
+        i, j, ground = np.concatenate([i[fine], j[fine]]), np.concatenate([j[fine], i[fine]]), np.concatenate([ground[fine], ground[fine]])
+        near, least = np.bincount(i, n[j], len(x)).astype(np.int64), np.full(len(x), np.inf)
+        np.minimum.at(least, i, ground)
+        return pd.DataFrame({"__x": x[own], "__y": y[own], "n": n[own], "n_here": n[own], "n_near": near[own], "nearest_m": np.where(np.isinf(least[own]), np.nan, least[own])})
+
+    cells = _cells(here, here.count(), reach, per_cell, "n")
+    per_place = cells.groupBy("cell").applyInPandas(count, "__x double, __y double, n bigint, n_here bigint, n_near bigint, nearest_m double")
+    per_place = per_place.withColumn("nearest_m", F.nanvl("nearest_m", F.lit(None).cast("double")))
+    return join_counted(rows, cut_lineage(per_place), ["__x", "__y"]).select(key, "n_here", "n_near", "nearest_m", *keep)
 
 
 class Slabs:
-    """Polygon edges by slab of longitude, from a sweep over all corners."""
+    """Polygon edges by slab of longitude, from a sweep over all corners of some zones."""
 
     def __init__(self, ids: list[int], lats: list[np.ndarray], lons: list[np.ndarray]) -> None:
         edges = []
@@ -241,15 +273,45 @@ class Slabs:
         return out
 
 
-def zone_of(df: DataFrame, key: str, lat: str, lon: str, zones: DataFrame, max_zones: int = 100_000) -> DataFrame:
-    """(key, zone_id) of every row, zone_id null where no zone holds it; with several, the smallest id.
+class Bands:
+    """Slabs by band of latitude: bands grow with the root of the zones, so edges in slabs don't grow with their square."""
+
+    def __init__(self, ids: list[int], lats: list[np.ndarray], lons: list[np.ndarray]) -> None:
+        lats, lons = [np.asarray(x, float) for x in lats], [np.asarray(x, float) for x in lons]
+        fine = [k for k, x in enumerate(lats) if np.isfinite(x).any()]
+        low = np.array([np.nanmin(lats[k]) for k in fine])
+        high = np.array([np.nanmax(lats[k]) for k in fine])
+        around = np.array([abs(((np.diff(np.append(lons[k], lons[k][0])) + 180) % 360 - 180).sum()) > 180 for k in fine], bool)  # holds a pole
+        low, high = np.where(around & (low < 0), -90, low), np.where(around & (high > 0), 90, high)
+        many = max(1, int(np.sqrt(len(fine) / 4)))
+        self.cuts = np.unique(np.quantile((low + high) / 2, np.arange(1, many) / many)) if many > 1 else np.zeros(0)
+        first, last = np.searchsorted(self.cuts, low, side="right"), np.searchsorted(self.cuts, high, side="right")
+        self.slabs, self.edges = [], 0
+        for band in range(len(self.cuts) + 1):
+            own = [fine[k] for k in np.flatnonzero((first <= band) & (last >= band))]
+            self.slabs.append(Slabs([ids[k] for k in own], [lats[k] for k in own], [lons[k] for k in own]))
+            self.edges += len(self.slabs[-1].edge)
+            if self.edges > MAX_EDGES:
+                raise ValueError(f"the zones have more than {MAX_EDGES} edges in slabs")
 
-    zones: zone_id, ring_latitude, ring_longitude. A fixed table: more than max_zones rows are an error, not a slow broadcast."""
-    from waymark.runtime import bounded_rows
+    def holding(self, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+        """Smallest id of the zones that hold each point, -1 for none."""
+        out = np.full(len(lat), -1, np.int64)
+        band = np.searchsorted(self.cuts, lat, side="right")
+        for b in np.unique(band):
+            at = band == b
+            out[at] = self.slabs[b].holding(lat[at], lon[at])
+        return out
+
+
+def zone_of(df: DataFrame, key: str, lat: str, lon: str, zones: DataFrame, max_zones: int = 100_000) -> DataFrame:
+    """(key, lat, lon, zone_id) of every row, zone_id null where no zone holds it; with several, the smallest id.
 
+    zones: zone_id, ring_latitude, ring_longitude. A fixed table: more than max_zones rows, or MAX_EDGES edges in slabs, are an
+    error, not a slow broadcast."""
     rings = bounded_rows(zones.select("zone_id", "ring_latitude", "ring_longitude").where("zone_id is not null and ring_latitude is not null and ring_longitude is not null").orderBy("zone_id"), max_zones, "the zone table")
-    slabs = Slabs([r[0] for r in rings], [np.array(r[1], float) for r in rings], [np.array(r[2], float) for r in rings])
-    shared = df.sparkSession.sparkContext.broadcast(slabs)
+    bands = Bands([r[0] for r in rings], [np.array(r[1], float) for r in rings], [np.array(r[2], float) for r in rings])
+    shared = df.sparkSession.sparkContext.broadcast(bands)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,7 +320,7 @@ def zone_of(df: DataFrame, key: str, lat: str, lon: str, zones: DataFrame, max_z
                 ok = (np.abs(x) <= 90) & (np.abs(y) <= 180)
             zone = np.full(len(x), -1, np.int64)
             zone[ok] = shared.value.holding(x[ok].astype(float), y[ok].astype(float))
-            yield pa.record_batch([batch.column(0), pa.array(zone.astype(np.int32), mask=zone < 0)], names=[key, "zone_id"])
+            yield pa.record_batch([*batch.columns, pa.array(zone.astype(np.int32), mask=zone < 0)], names=[key, lat, lon, "zone_id"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, F.col(lat).cast("double"), F.col(lon).cast("double")).mapInArrow(run, f"`{key}` {kind}, zone_id int")
+    return df.select(key, F.col(lat).cast("double"), F.col(lon).cast("double")).mapInArrow(run, f"`{key}` {kind}, `{lat}` double, `{lon}` double, zone_id int")

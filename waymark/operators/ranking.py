@@ -1,20 +1,24 @@
 """Exact nearest vectors and ranking metrics.
 
-A stated set of queries goes against all vectors in blocks of at most BLOCK queries: each block is a broadcast of bounded size,
-each Arrow batch of vectors answers it with one matrix product and keeps its best k per query, and a window with a group limit
-merges the partial answers. Scores are rounded before ranking, equal scores rank by id.
+A stated set of queries goes against all vectors, up to PASS queries in a pass: a broadcast of bounded size. Each task answers
+them a block at a time with one matrix product per Arrow batch, keeps the best k of each query over all its batches, and emits
+them once; a window with a group limit merges the tasks' answers. Scores are rounded before ranking, equal scores rank by id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.runtime import bounded_rows
+
 BLOCK = 2048
+PASS = 16 * BLOCK
 KS = (5, 10, 25, 50, 100)
 
 
@@ -23,40 +27,92 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return flat.reshape(-1, width)
 
 
+class _Best:
+    """The k best (score, id) of each query of a block so far; open places hold -inf."""
+
+    def __init__(self, names: np.ndarray, queries: np.ndarray, k: int) -> None:
+        self.names, self.queries, self.k = names, queries, k
+        self.score, self.id = np.full((len(names), k), -np.inf), np.zeros((len(names), k), np.int64)
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        score = np.round(vectors @ self.queries.T, 6).T
+        better = score > self.score[:, -1:] if len(ids) > self.k else np.ones(score.shape, bool)
+        better |= (score == self.score[:, -1:]) & (ids[None, :] < self.id[:, -1:])
+        i, j = np.nonzero(better)
+        kept = np.flatnonzero(np.isfinite(self.score).ravel())
+        row = np.concatenate([kept // self.k, i])
+        value, name = np.concatenate([self.score.ravel()[kept], score[i, j]]), np.concatenate([self.id.ravel()[kept], ids[j]])
+        order = np.lexsort((name, -value, row))
+        row = row[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        order, row, rank = order[rank < self.k], row[rank < self.k], rank[rank < self.k]
+        self.score.fill(-np.inf)
+        self.score[row, rank], self.id[row, rank] = value[order], name[order]
+
+    def rows(self) -> pa.RecordBatch:
+        i, j = np.nonzero(np.isfinite(self.score))
+        return pa.record_batch([pa.array(self.names[i]), pa.array(self.id[i, j]), pa.array(self.score[i, j])], names=["query_id", "vec_id", "score"])
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", vector_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k vectors of greatest inner product. Null vectors and vectors of another width answer nothing."""
-    queries = queries.where(F.col(vector).isNotNull() & F.col(query_id).isNotNull())
-    total = queries.count()
-    blocks = max(1, -(-total // BLOCK))
-    found = None
-    for b in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b).select(query_id, F.col(vector).cast("array<double>").alias("v")).collect()  # about BLOCK rows
-        by_width: dict[int, list] = {}
-        for r in own:
-            by_width.setdefault(len(r["v"]), []).append(r)
-        packed = [(w, np.array([r[0] for r in rs]), np.array([r[1] for r in rs], float).reshape(len(rs), w)) for w, rs in by_width.items()]
-        shared = queries.sparkSession.sparkContext.broadcast(packed)
+    queries = queries.where(F.col(vector).isNotNull() & F.col(query_id).isNotNull()).select(F.col(query_id).cast("bigint").alias("q"), F.col(vector).cast("array<double>").alias("v"))
+    passes = max(1, -(-queries.count() // PASS))
+    parts = []
+    for b in range(passes):
+        own = queries.where(F.pmod(F.xxhash64("q"), F.lit(passes)) == b).toArrow()  # about PASS rows
+        lengths = np.asarray(own["v"].combine_chunks().value_lengths().fill_null(-1)) if own.num_rows else np.zeros(0, int)
+        blocks = []
+        for w in sorted(set(lengths.tolist()) - {0}):
+            at = np.flatnonzero(lengths == w)
+            for part in np.array_split(at, -(-len(at) // BLOCK)):
+                blocks.append((int(w), own["q"].combine_chunks().take(pa.array(part)).to_numpy(), _matrix(own["v"].combine_chunks().take(pa.array(part)), int(w))))
+        shared = vectors.sparkSession.sparkContext.broadcast(blocks)
 
         def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            found = [(w, _Best(names, q, k)) for w, names, q in shared.value]
             for batch in batches:
                 ids, column = batch.column(0).to_numpy(), batch.column(1)
                 lengths = np.asarray(column.value_lengths().fill_null(-1))
-                for w, names, q in shared.value:
+                for w in {w for w, _ in found}:
                     of = np.flatnonzero(lengths == w)
-                    if not len(of) or not w:
-                        continue
-                    score = np.round(_matrix(column.take(pa.array(of)), w) @ q.T, 6).T
-                    if score.shape[1] > k:
-                        least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
-                        i, j = np.nonzero(score >= least[:, None])
-                    else:
-                        i, j = np.nonzero(np.ones(score.shape, bool))
-                    yield pa.record_batch([pa.array(names[i]), pa.array(ids[of][j]), pa.array(score[i, j])], names=["query_id", "vec_id", "score"])
-
-        part = vectors.where(F.col(vector).isNotNull()).select(F.col(vector_id).cast("bigint"), F.col(vector)).mapInArrow(best, "query_id bigint, vec_id bigint, score double")
-        found = part if found is None else found.unionByName(part)
+                    if len(of):
+                        m = _matrix(column.take(pa.array(of)), w)
+                        for own_w, block in found:
+                            if own_w == w:
+                                block.add(ids[of], m)
+            for _, block in found:
+                yield block.rows()
+
+        parts.append(vectors.where(F.col(vector).isNotNull() & F.col(vector_id).isNotNull()).select(F.col(vector_id).cast("bigint"), F.col(vector)).mapInArrow(best, "query_id bigint, vec_id bigint, score double"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def nearest_centre(vectors: DataFrame, centres: DataFrame, vector_id: str, centre_id: str, vector: str = "embedding", max_centres: int = 20_000) -> DataFrame:
+    """(vec_id, nearest, score): the centre of greatest inner product, equal ones by id; null where no centre has the width.
+
+    Few centres, broadcast, against all vectors in one narrow pass; more than max_centres are an error."""
+    known = bounded_rows(centres.where(F.col(vector).isNotNull() & F.col(centre_id).isNotNull()).select(F.col(centre_id).cast("bigint"), F.col(vector).cast("array<double>")).orderBy(centre_id), max_centres, "the table of centres")
+    widths = {len(r[1]) for r in known} - {0}
+    packed = {w: (np.array([r[0] for r in known if len(r[1]) == w], np.int64), np.array([r[1] for r in known if len(r[1]) == w], float)) for w in widths}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1)
+            lengths = np.asarray(column.value_lengths().fill_null(-1))
+            name, score = np.zeros(len(lengths), np.int64), np.full(len(lengths), np.nan)
+            for w, (ids, m) in packed.items():
+                of = np.flatnonzero(lengths == w)
+                for part in np.array_split(of, max(1, -(-len(of) * len(ids) // 4_000_000))):
+                    if len(part):
+                        s = np.round(_matrix(column.take(pa.array(part)), w) @ m.T, 6)
+                        at = s.argmax(axis=1)  # the first of equal ones has the smallest id
+                        name[part], score[part] = ids[at], s[np.arange(len(part)), at]
+            none = np.isnan(score)
+            yield pa.record_batch([batch.column(0), pa.array(name, mask=none), pa.array(score, mask=none)], names=[vector_id, "nearest", "score"])
+
+    return vectors.select(F.col(vector_id).cast("bigint"), vector).mapInArrow(run, f"`{vector_id}` bigint, nearest bigint, score double")
 
 
 def without_self(ranking: DataFrame) -> DataFrame:

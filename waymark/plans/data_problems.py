@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from waymark.operators.hotkeys import hot_keys, key_states
 from waymark.operators.nearby import near_counts, near_rows, zone_of
 from waymark.operators.packed import explode_packed
-from waymark.runtime import bounded_rows, table
+from waymark.runtime import bounded_rows, bounded_table, table
 
 PACKED = ("instance_tag", "category", "cluster_id")
 NEAR_M = 50.0
@@ -36,10 +36,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each row the rows at and near its place, and the zone that holds it."""
     rows = table(spark, sf_dir, "reverse_geocode")
-    near = near_counts(rows, "geo_id", "latitude", "longitude", NEAR_M)
     zones = table(spark, sf_dir, "city_zone")
-    held = zone_of(rows, "geo_id", "latitude", "longitude", zones).join(F.broadcast(zones.select("zone_id", F.col("city").alias("zone_city"))), "zone_id", "left")
-    return near.join(held, "geo_id").select("geo_id", "n_here", "n_near", "nearest_m", "zone_id", "zone_city")
+    held = zone_of(rows, "geo_id", "latitude", "longitude", zones)
+    near = near_counts(held, "geo_id", "latitude", "longitude", NEAR_M, keep=["zone_id"])
+    names = bounded_table(zones.where("zone_id is not null").groupBy("zone_id").agg(F.min("city").alias("zone_city")), 100_000, "the zone table")
+    return near.join(names, "zone_id", "left").select("geo_id", "n_here", "n_near", "nearest_m", "zone_id", "zone_city")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -187,12 +187,9 @@ def centroids(spark, sf_dir):
 
 @query(f"WITH {_CENTROID}, l AS (SELECT label, list(m ORDER BY i) AS e FROM c GROUP BY label), s AS (SELECT vec_id, l.label AS nearest, round(list_dot_product(CAST(embedding AS DOUBLE[]), l.e), 6) AS score FROM embeddings, l) SELECT vec_id, nearest, score FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, nearest) = 1")
 def nearest_centroid(spark, sf_dir):
-    """Every vector to its nearest centroid: few centroids against all vectors, so the vectors are the scanned side of the search."""
+    """Every vector to its nearest centroid."""
     e = table(spark, sf_dir, "embeddings")
-    c = ranking.centroids(e, "label")
-    both = e.select("vec_id", "embedding").crossJoin(broadcast_if_small(c.select(F.col("label").alias("nearest"), F.col("embedding").alias("centre")), 1000))
-    scored = both.select("vec_id", "nearest", F.round(vectors.dot(F.col("embedding"), F.col("centre")), 6).alias("score"))
-    return scored.groupBy("vec_id").agg(F.max_by(F.struct("nearest", "score"), F.struct("score", -F.col("nearest"))).alias("b")).select("vec_id", "b.nearest", "b.score")
+    return ranking.nearest_centre(e, ranking.centroids(e, "label"), "vec_id", "label").withColumn("nearest", F.col("nearest").cast("int"))
 
 
 @query("SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm_before, 1.0 AS norm_after FROM embeddings")
