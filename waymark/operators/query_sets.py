@@ -40,9 +40,8 @@ def marginal_queries(rows: DataFrame, axis: str, template: str, row: str, min_re
 
 
 def translate(relevant: DataFrame, items: DataFrame, item: str, row: str) -> DataFrame:
-    """relevant: query_id, item lists in `items_of`. (query_id, pos, row): row is null where the item isn't in the index."""
-    long = relevant.select("query_id", F.posexplode("items_of").alias("pos", item))
-    return long.join(items.select(item, row), item, "left").select("query_id", "pos", row)
+    """relevant: query_id and item, one row each. (query_id, item, row): row is null where the item isn't in the index."""
+    return relevant.select("query_id", item).join(items.select(item, row), item, "left").select("query_id", item, row)
 
 
 def usable_queries(translated: DataFrame, row: str, min_relevant: int) -> DataFrame:

@@ -7,11 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.runtime import cut_lineage
 
-def keep_best(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row of each key in the given order; null keys form a key of their own."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__rank")
+
+def keep_best(df: DataFrame, keys: Sequence[str], order: Column, least: bool = False) -> DataFrame:
+    """Per key the row of greatest (or least) order, which should be a struct that ends in a unique column; nulls are least.
+
+    An aggregate rather than a window: it combines before the shuffle, so a heavy key, null too, is no task of its own."""
+    rest = [c for c in df.columns if c not in keys]
+    pick = (F.min_by if least else F.max_by)(F.struct(*rest), order)
+    return df.groupBy(*keys).agg(pick.alias("__row")).select(*[F.col(c) if c in keys else F.col(f"__row.{c}").alias(c) for c in df.columns])
 
 
 def succeeded(error: str) -> Column:
@@ -20,11 +25,37 @@ def succeeded(error: str) -> Column:
 
 def last_success(df: DataFrame, key: str, error: str, order: Sequence[str]) -> DataFrame:
     """Per key the last row without an error, else its last row."""
-    return keep_best(df, [key], [succeeded(error).desc(), *[F.col(c).desc_nulls_last() for c in order]])
+    return keep_best(df, [key], F.struct(succeeded(error).alias("__ok"), *order))
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    return keep_best(df, keys, [F.col(c).asc() for c in order])
+    return keep_best(df, keys, F.struct(*order), least=True)
+
+
+def ranked(df: DataFrame, group: Sequence[str], order: Column, tie: str, digits: int = 3) -> DataFrame:
+    """df with `rank` (from 1, by order and tie within the group) and `group_size`. order: a hexadecimal hash, as text.
+
+    A group is ranked in parts by the first digits of the hash, which sort as the hash does, and the parts before are added: a
+    heavy group is spread over 16 ** digits windows. Null group values form groups like others."""
+    parts = df.withColumns({"__g": F.struct(*group), "__h": order})
+    parts = parts.withColumn("__b", F.substring("__h", 1, digits))
+    sizes = parts.groupBy("__g", "__b").agg(F.count("*").alias("__n"))
+    w = Window.partitionBy("__g").orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = sizes.select("__g", "__b", (F.sum("__n").over(w) - F.col("__n")).alias("__ahead"), F.sum("__n").over(Window.partitionBy("__g")).alias("group_size"))
+    inside = parts.withColumn("__r", F.row_number().over(Window.partitionBy("__g", "__b").orderBy("__h", tie)))
+    return inside.join(ahead, ["__g", "__b"]).select(*df.columns, (F.col("__r") + F.col("__ahead")).alias("rank"), "group_size")
+
+
+def running_totals(df: DataFrame, order: Sequence[Column], value: str) -> DataFrame:
+    """df with `upto` (sum of value to this row in the total order), `number` (from 1) and `total`, without one task for all:
+    sums by range partition, then offsets. An empty table has no rows."""
+    parts = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id()}))
+    sums = parts.groupBy("__p").agg(F.sum(value).alias("__s"), F.count("*").alias("__c"))
+    w = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # as many rows as partitions
+    ahead = sums.select("__p", (F.sum("__s").over(w) - F.col("__s")).alias("__before"), (F.sum("__c").over(w) - F.col("__c")).alias("__rows"), F.sum("__s").over(Window.partitionBy(F.lit(1))).alias("total"))
+    inside = Window.partitionBy("__p").orderBy("__i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = parts.withColumns({"__upto": F.sum(value).over(inside), "__k": F.row_number().over(inside)}).join(F.broadcast(ahead), "__p")
+    return run.select(*df.columns, (F.col("__upto") + F.col("__before")).alias("upto"), (F.col("__k") + F.col("__rows")).cast("bigint").alias("number"), "total")
 
 
 def counts(df: DataFrame, *keys: str) -> DataFrame:
@@ -40,12 +71,9 @@ def shares(df: DataFrame, keys: Sequence[str], within: Sequence[str] = ()) -> Da
 
 
 def cumulative_shares(df: DataFrame, key: str) -> DataFrame:
-    """n, share and running share from the most frequent value down; the window runs over distinct values only."""
-    s = shares(df, [key])
-    w = Window.orderBy(F.col("n").desc(), F.col(key).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = F.sum("n").over(w)
-    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
-    return s.select(key, "n", "share", (running / total).alias("cum_share"))
+    """n, share, running share and number from the most frequent value down; the totals run over distinct values only."""
+    t = running_totals(counts(df, key), [F.col("n").desc(), F.col(key).asc_nulls_first()], "n")
+    return t.select(key, "n", (F.col("n") / F.col("total")).alias("share"), (F.col("upto") / F.col("total")).alias("cum_share"), "number")
 
 
 def distinct_count(c: str) -> Column:
@@ -56,15 +84,13 @@ def distinct_count(c: str) -> Column:
 def dominant(df: DataFrame, key: str, cell: Sequence[str]) -> DataFrame:
     """Per key its most frequent cell with n; equal counts go to the smaller cell."""
     n = counts(df, key, *cell)
-    return keep_best(n, [key], [F.col("n").desc(), *[F.col(c).asc_nulls_first() for c in cell]])
+    return keep_best(n, [key], F.struct(-F.col("n"), *cell), least=True).select(key, *cell, "n")
 
 
 def nearest_quantile(df: DataFrame, c: str, q: float) -> DataFrame:
     """One row: the value at rank rint(q (n - 1)), counted over distinct values rather than sorted rows."""
     per = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(F.count("*").alias("many"))
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = per.select("v", F.sum("many").over(w).alias("upto"), F.sum("many").over(Window.partitionBy(F.lit(1))).alias("total"))
-    return upto.where(F.col("upto") > F.rint(F.lit(q) * (F.col("total") - 1))).agg(F.min("v").alias("value"))
+    return running_totals(per, [F.col("v").asc()], "many").where(F.col("upto") > F.rint(F.lit(q) * (F.col("total") - 1))).agg(F.min("v").alias("value"))
 
 
 def pivot_counts(df: DataFrame, key: str, by: str, values: Sequence[str]) -> DataFrame:
@@ -92,8 +118,8 @@ def first_n(df: DataFrame, key: str, value: str, score: str, n: int) -> DataFram
 
 
 def element_counts(df: DataFrame, values: str) -> DataFrame:
-    """How often each element of an array column occurs."""
-    return counts(df.select(F.explode(values).alias("value")), "value")
+    """How often each element of an array column occurs; a null list counts as one null element, as does an empty one."""
+    return counts(df.select(F.explode_outer(values).alias("value")), "value")
 
 
 def fill_from(df: DataFrame, other: DataFrame, on: Sequence[str], fields: Sequence[str]) -> DataFrame:
@@ -115,17 +141,13 @@ def only_missing(df: DataFrame, more: DataFrame, key: str) -> DataFrame:
 
 
 def cell_ids(df: DataFrame, cell: Sequence[str]) -> DataFrame:
-    """Dense ids from 0 of the distinct cells in order; one window over the cells, not over the rows."""
-    cells = df.select(*cell).distinct()
-    return cells.withColumn("cell_id", (F.dense_rank().over(Window.orderBy(*[F.col(c).asc_nulls_first() for c in cell])) - 1).cast("int"))
+    """Dense ids from 0 of the distinct cells in order."""
+    cells = df.select(*cell).distinct().withColumn("__one", F.lit(1))
+    numbered = running_totals(cells, [F.col(c).asc_nulls_first() for c in cell], "__one")
+    return numbered.select(*cell, (F.col("number") - 1).cast("int").alias("cell_id"))
 
 
 def row_numbers(df: DataFrame, order: str, name: str = "row_idx") -> DataFrame:
     """Dense numbers from 0 in a total order, without one task for all: counts by range partition, then offsets."""
-    parts = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33))
-    from waymark.runtime import cut_lineage
-
-    kept = cut_lineage(parts)
-    n = kept.groupBy("__p").agg(F.count("*").alias("__n"))
-    ahead = n.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__ahead"))
-    return kept.join(F.broadcast(ahead), "__p").withColumn(name, (F.col("__ahead") + F.col("__i")).cast("bigint")).drop("__p", "__i", "__ahead")
+    numbered = running_totals(df.withColumn("__one", F.lit(1)), [F.col(order).asc()], "__one")
+    return numbered.select(*df.columns, (F.col("number") - 1).alias(name))

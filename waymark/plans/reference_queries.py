@@ -11,7 +11,7 @@ from waymark.functions import geo, text, urls, vectors
 from waymark.operators import losses, pages, places, query_sets, ranking, relational, samplers, splits
 from waymark.operators.packed import explode_packed
 from waymark.plans.data_problems import canonical_tags
-from waymark.runtime import broadcast_if_small, cut_lineage, scratch, table
+from waymark.runtime import bounded_rows, cut_lineage, scratch, table
 from waymark.sources import readers, writers
 from waymark.streaming import enrich
 
@@ -347,9 +347,8 @@ def relevance_translate_missing(spark, sf_dir):
     """Image ids of each (label, country) looked up in the index; misses are counted and don't help the minimum."""
     image = F.regexp_extract(F.lower("id"), "([0-9a-f]{16})", 1)
     d = table(spark, sf_dir, "datasplit").where("pred_label is not null and country is not null").select(image.alias("image"), F.concat_ws("|", _label("pred_label"), F.trim("country")).alias("query_id")).distinct()
-    relevant = d.groupBy("query_id").agg(F.collect_list("image").alias("items_of"))
     items = table(spark, sf_dir, "image_pool").groupBy(F.col("id").alias("image")).agg(F.min("row_idx").alias("row_idx"))
-    return query_sets.usable_queries(query_sets.translate(relevant, items, "image", "row_idx"), "row_idx", 5)
+    return query_sets.usable_queries(query_sets.translate(d, items, "image", "row_idx"), "row_idx", 5)
 
 
 # ---- counts, shares, pivots ----------------------------------------------------------------------------------------
@@ -362,7 +361,7 @@ def count_share(spark, sf_dir):
 
 @query("WITH c AS (SELECT country, count(*) AS n FROM datasplit GROUP BY country) SELECT country, n, n / sum(n) OVER () AS share, sum(n) OVER (ORDER BY n DESC, country NULLS FIRST ROWS UNBOUNDED PRECEDING) / sum(n) OVER () AS cum_share FROM c")
 def count_cumshare(spark, sf_dir):
-    return relational.cumulative_shares(table(spark, sf_dir, "datasplit"), "country")
+    return relational.cumulative_shares(table(spark, sf_dir, "datasplit"), "country").drop("number")
 
 
 @query("SELECT src, split, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY src) AS share FROM datasplit GROUP BY src, split")
@@ -373,8 +372,8 @@ def share_in_group(spark, sf_dir):
 @query("WITH c AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1) SELECT event_type, n, row_number() OVER (ORDER BY n DESC, event_type) / count(*) OVER () AS rank_share, sum(n) OVER (ORDER BY n DESC, event_type ROWS UNBOUNDED PRECEDING) / sum(n) OVER () AS coverage FROM c")
 def coverage_curve(spark, sf_dir):
     c = relational.cumulative_shares(table(spark, sf_dir, "events"), "event_type")
-    order = Window.orderBy(F.col("n").desc(), "event_type")
-    return c.select("event_type", "n", (F.row_number().over(order) / F.count("*").over(Window.partitionBy(F.lit(1)))).alias("rank_share"), F.col("cum_share").alias("coverage"))
+    values = c.agg(F.count("*").alias("values"))
+    return c.crossJoin(F.broadcast(values)).select("event_type", "n", (F.col("number") / F.col("values")).alias("rank_share"), F.col("cum_share").alias("coverage"))
 
 
 _LABELS = ("crossing", "portal", "stronghold", "worship_site")
@@ -392,7 +391,8 @@ def pivot_top_plus_other(spark, sf_dir):
 def pivot_matrix_total(spark, sf_dir):
     """Row totals over the pivoted columns, which come in the order of their sums."""
     d = table(spark, sf_dir, "lineitem")
-    order = [r[0] for r in relational.counts(d, "l_linestatus").orderBy(F.col("n").desc(), "l_linestatus").limit(1000).collect()]
+    labels = relational.counts(d.where("l_linestatus is not null"), "l_linestatus").orderBy(F.col("n").desc(), "l_linestatus")
+    order = [r[0] for r in bounded_rows(labels, 1000, "the list of pivot columns")]
     wide = relational.pivot_counts(d, "l_returnflag", "l_linestatus", order)
     return wide.withColumn("total", sum((F.col(c) for c in order), F.lit(0).cast("bigint")))
 
@@ -576,7 +576,7 @@ def left_join_recover_union(spark, sf_dir):
 
 @query("SELECT doc_id FROM documents WHERE landmark_id IN (SELECT landmark_id FROM datasplit WHERE landmark_id IS NOT NULL)")
 def semi_join(spark, sf_dir):
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "datasplit").select("landmark_id"), "landmark_id", "left_semi").select("doc_id")
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "datasplit").select("landmark_id").distinct(), "landmark_id", "left_semi").select("doc_id")
 
 
 @query("SELECT scrape_id, wikimedia_url FROM wikidata w WHERE wikimedia_url IS NOT NULL AND NOT EXISTS (SELECT 1 FROM wikidata d WHERE d.wikimedia_url = w.wikimedia_url AND (d.error IS NULL OR d.error = ''))")
