@@ -24,6 +24,9 @@ COUNTRY_DISPLAY = {
     "Bonaire, Sint Eustatius and Saba": "Bonaire, Sint Eustatius and Saba",
 }
 
+#: Other names of countries and the ones to use instead (fixed values).
+COUNTRY_ALIASES = {"Timor-Leste": "Timor Leste", "Lao People's Democratic Republic": "Laos", "Viet Nam": "Vietnam", "Russian Federation": "Russia"}
+
 #: Query text by granularity (fixed values); both arguments are strings.
 QUERY_TEMPLATE = {
     "country": "A %s landmark located in %s",
@@ -50,6 +53,10 @@ def display_country(c: Column) -> Column:
     return remap(c, COUNTRY_DISPLAY)
 
 
+def common_country(c: Column) -> Column:
+    return remap(c, COUNTRY_ALIASES)
+
+
 def query_text(granularity: str, category: Column, geo: Column) -> Column:
     """Null where either part is null."""
     text = F.format_string(QUERY_TEMPLATE[granularity], category, geo)
@@ -122,3 +129,29 @@ def country_code(c: Column) -> Column:
 def tier(w: Column) -> Column:
     """How many members a cell has, in words."""
     return F.when(w == 1, "W=1").when(w == 2, "W=2").when(w < 7, "W 3-6").when(w < 20, "W 7-19").otherwise("W>=20")
+
+
+#: Statements about a place in another map, in order of trust, with the kind of thing they name (fixed values).
+PLACE_CLAIMS = (("P402", "relation"), ("P11693", "node"), ("P10689", "way"))
+_VALUE = "struct<value:string>"
+ENTITY = f"struct<entities:map<string,struct<labels:map<string,{_VALUE}>,aliases:map<string,array<{_VALUE}>>,claims:map<string,array<struct<mainsnak:struct<datavalue:{_VALUE}>>>>>>>"
+
+
+def entity_names(entity: Column) -> Column:
+    """map of language to names, the label first, then the aliases; an entity without any has null."""
+    none = F.array().cast("array<string>")
+    labels = F.transform_values(F.coalesce(entity["labels"], F.create_map().cast(f"map<string,{_VALUE}>")), lambda _, v: F.array(v["value"]))
+    aliases = F.transform_values(F.coalesce(entity["aliases"], F.create_map().cast(f"map<string,array<{_VALUE}>>")), lambda _, v: F.transform(v, lambda x: x["value"]))
+    both = F.map_zip_with(labels, aliases, lambda _, a, b: F.concat(F.coalesce(a, none), F.coalesce(b, none)))
+    return F.when(F.size(both) > 0, both)
+
+
+def entity_place(entity: Column) -> Column:
+    """kind/value of the first statement of the first claim in order of trust that has a value, null without one."""
+    value = lambda p: F.get(F.try_element_at(entity["claims"], F.lit(p)), F.lit(0))["mainsnak"]["datavalue"]["value"]
+    return F.coalesce(*[F.concat(F.lit(kind + "/"), value(p)) for p, kind in PLACE_CLAIMS])
+
+
+def parse_entity(document: Column, name: Column) -> Column:
+    """The entity of that name in a JSON document of entities; null where the document is broken or another's."""
+    return F.try_element_at(F.from_json(document, ENTITY)["entities"], name)

@@ -26,6 +26,14 @@ def is_category_link(url: Column, of_host: str) -> Column:
     return F.coalesce((host(url) == of_host) & F.startswith(F.try_parse_url(url, F.lit("PATH")), F.lit("/wiki/Category:")), F.lit(False))
 
 
+def is_geo_link(url: Column, hosts: tuple[str, ...]) -> Column:
+    """A link to a map service that carries coordinates."""
+    known = F.lit(False)
+    for h in hosts:
+        known = known | F.contains(host(url), F.lit(h))
+    return F.coalesce(known & F.contains(url, F.lit("params=")), F.lit(False))
+
+
 def entity_id(url: Column) -> Column:
     """Q and digits after a slash, null where there are none."""
     return F.nullif(F.regexp_extract(url, r"/(Q\d+)(?:[^0-9]|$)", 1), F.lit(""))

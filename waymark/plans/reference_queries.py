@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from waymark.functions import geo, text, urls, vectors
 from waymark.operators import losses, pages, places, query_sets, ranking, relational, samplers, splits
 from waymark.operators.packed import explode_packed
 from waymark.plans.data_problems import canonical_tags
-from waymark.runtime import bounded_rows, cut_lineage, scratch, table
+from waymark.runtime import bounded_rows, bounded_table, cut_lineage, scratch, table
 from waymark.sources import readers, writers
 from waymark.streaming import enrich
 
@@ -215,10 +216,10 @@ def composite_vector_score(spark, sf_dir):
     return both.select("vec_id", F.round(vectors.dot(image, query_vector), 6).alias("score"))
 
 
-@query(_KNN + ", z AS (SELECT query_id, vec_id, rank, exp((score - max(score) OVER (PARTITION BY query_id)) / 0.07) AS x FROM knn) SELECT query_id, vec_id, round(x / sum(x) OVER (PARTITION BY query_id), 9) AS probability FROM z QUALIFY rank <= 5")
+@query(_KNN + ", z AS (SELECT query_id, vec_id, rank, exp((score - max(score) OVER (PARTITION BY query_id)) / 0.01) AS x FROM knn) SELECT query_id, vec_id, round(x / sum(x) OVER (PARTITION BY query_id), 9) AS probability FROM z QUALIFY rank <= 5")
 def softmax_topk(spark, sf_dir):
-    """Probabilities over the retrieved gallery at a clamped temperature, the best five."""
-    t = vectors.temperature(F.lit(0.07))
+    """Probabilities over the retrieved gallery at a temperature below the least, which is taken instead; the best five."""
+    t = vectors.temperature(F.lit(0.001))
     w = Window.partitionBy("query_id")
     z = _knn(spark, sf_dir).withColumn("x", F.exp((F.col("score") - F.max("score").over(w)) / t))
     return z.withColumn("probability", F.round(F.col("x") / F.sum("x").over(w), 9)).where("rank <= 5").select("query_id", "vec_id", "probability")
@@ -268,12 +269,21 @@ def cross_entropy_loss(spark, sf_dir):
     return _rounded(losses.cross_entropy(losses.batch_pairs(_batched(spark, sf_dir)), 0.1), "loss", digits=6)
 
 
-@query()
+_CELL_ORDER = "md5('0|{\"category\":\"' || category || '\",\"country\":\"' || country || '\"}'), category, country"
+
+
+@query(f"""WITH {_POOL}, r AS (SELECT row_idx, category, country, row_number() OVER (PARTITION BY category, country ORDER BY md5('0|' || CAST(row_idx AS VARCHAR)), row_idx) - 1 AS r FROM pool),
+    p AS (SELECT category, country, r // 2 AS pair, arg_min(row_idx, r) AS first, arg_max(row_idx, r) AS second FROM r GROUP BY 1, 2, 3 HAVING count(*) = 2 AND r // 2 < 1157),
+    n AS (SELECT *, row_number() OVER (ORDER BY pair, {_CELL_ORDER}) - 1 AS pos, count(*) OVER () AS t FROM p) SELECT pos // 32 AS batch, pos, first, second FROM n WHERE pos // 32 < t // 32""")
 def pair_batches(spark, sf_dir):
     return samplers.pair_batches(_pool(spark, sf_dir), "row_idx", ["category", "country"], 64)
 
 
-@query()
+@query(f"""WITH {_POOL}, r AS (SELECT row_idx, category, country, row_number() OVER (PARTITION BY category, country ORDER BY md5('0|' || CAST(row_idx AS VARCHAR)), row_idx) - 1 AS r, count(*) OVER (PARTITION BY category, country) AS size FROM pool),
+    d AS (SELECT category, country, size, unnest(range(greatest(1, least(size, 500) // 4))) AS draw FROM (SELECT DISTINCT category, country, size FROM r WHERE size >= 2)),
+    s AS (SELECT *, row_number() OVER (ORDER BY draw, {_CELL_ORDER}) - 1 AS slot, count(*) OVER () AS t FROM d),
+    j AS (SELECT *, unnest([0, 1, 2, 3]) AS j FROM s WHERE slot // 16 < t // 16)
+    SELECT slot // 16 AS batch, slot, j.j, r.row_idx AS item FROM j JOIN r ON r.category = j.category AND r.country = j.country AND r.r = (j.draw * 4 + j.j) % j.size""")
 def pk_batches(spark, sf_dir):
     return samplers.pk_batches(_pool(spark, sf_dir), "row_idx", ["category", "country"], 64, 4, cap=500)
 
@@ -376,12 +386,9 @@ def coverage_curve(spark, sf_dir):
     return c.crossJoin(F.broadcast(values)).select("event_type", "n", (F.col("number") / F.col("values")).alias("rank_share"), F.col("cum_share").alias("coverage"))
 
 
-_LABELS = ("crossing", "portal", "stronghold", "worship_site")
-
-
-@query("WITH t AS (SELECT country FROM idk2 WHERE country IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, country LIMIT 5), d AS (SELECT CASE WHEN country IN (SELECT country FROM t) THEN country ELSE 'Other' END AS grp, lower(trim(pred_label, ' ')) AS label FROM idk2) SELECT grp, " + ", ".join(f"count(CASE WHEN label = '{x}' THEN 1 END) AS {x}" for x in _LABELS) + " FROM d GROUP BY grp")
+@query("WITH t AS (SELECT country FROM idk2 WHERE country IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, country LIMIT 5) PIVOT (SELECT CASE WHEN country IN (SELECT country FROM t) THEN country ELSE 'Other' END AS grp, lower(trim(pred_label, ' ')) AS label FROM idk2) ON grp USING count(*) GROUP BY label")
 def pivot_top_plus_other(spark, sf_dir):
-    """Rows of every label, null too, by the most frequent countries and Other as columns. The SQL twin states four labels only, as columns."""
+    """Rows of every label, null too, by the most frequent countries and Other as columns."""
     d = table(spark, sf_dir, "idk2").select("country", _label("pred_label").alias("label"))
     top = relational.top_values(d, "country", 5)
     return relational.pivot_counts(d.select(relational.top_or_other("country", top).alias("grp"), "label"), "label", "grp", list(dict.fromkeys([*top, "Other"])))
@@ -530,6 +537,12 @@ def random_split(spark, sf_dir):
     return splits.random_split(table(spark, sf_dir, "image_pool").select("row_idx"), "row_idx")
 
 
+@query(f"WITH {_POOL}, r AS (SELECT row_idx, category, count(*) OVER (PARTITION BY category) AS n, row_number() OVER (PARTITION BY category ORDER BY {_MD5.format('row_idx')}, row_idx) AS r FROM pool), q AS (SELECT *, round_even(0.2 * n, 0) AS t FROM r) SELECT row_idx, category, CASE WHEN r <= t THEN 'test' WHEN r <= t + round_even(0.3 * (n - t), 0) THEN 'val' ELSE 'train' END AS split FROM q")
+def stratified_random_split(spark, sf_dir):
+    """Each label's rows at random: a fifth for testing, three tenths of the rest for validation."""
+    return splits.stratified_random_split(_pool(spark, sf_dir).select("row_idx", "category"), "row_idx", "category")
+
+
 @query(f"SELECT row_idx, id FROM image_pool ORDER BY {_MD5.format('row_idx')}, row_idx LIMIT 100")
 def sample_n(spark, sf_dir):
     return splits.sample_n(table(spark, sf_dir, "image_pool").select("row_idx", "id"), "row_idx", 100)
@@ -546,7 +559,12 @@ def modulo_shard(spark, sf_dir):
     return out
 
 
-@query()
+@query(f"""WITH {_POOL}, p AS (SELECT *, {_MD5.format('row_idx')} AS h FROM pool WHERE confidence >= 0.5),
+    o AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY category, continent, country, landmark_id ORDER BY h, row_idx) = 1),
+    q AS (SELECT *, greatest(1, 1000 // (SELECT count(*) FROM (SELECT DISTINCT category, continent FROM o))) AS q, row_number() OVER (PARTITION BY category, continent, country ORDER BY h, row_idx) AS i FROM o),
+    k AS (SELECT q.*, c.countries FROM q JOIN (SELECT category, continent, count(DISTINCT country) AS countries FROM o GROUP BY 1, 2) c ON c.category = q.category AND c.continent IS NOT DISTINCT FROM q.continent WHERE i <= greatest(1, q // countries)),
+    j AS (SELECT *, row_number() OVER (PARTITION BY category, continent ORDER BY i, country NULLS FIRST, h, row_idx) AS j FROM k)
+    SELECT row_idx, category, continent, country, landmark_id FROM j WHERE j <= q""")
 def balanced_seeds(spark, sf_dir):
     p = _pool(spark, sf_dir).where("confidence >= 0.5")
     return splits.balanced_seeds(p, "row_idx", "category", "continent", "country", "landmark_id", 1000).select("row_idx", "category", "continent", "country", "landmark_id")
@@ -625,10 +643,10 @@ def explode_count(spark, sf_dir):
     return relational.element_counts(p, "words")
 
 
-@query("WITH m AS (SELECT tags, max(human_tag_parent) AS parent FROM tag_cluster GROUP BY tags), w AS (SELECT scrape_id, unnest(string_split(instance_tag, ',')) AS tag FROM wikidata WHERE instance_tag IS NOT NULL AND NOT regexp_matches(instance_tag, '[^a-z, -]')), j AS (SELECT scrape_id, parent FROM w JOIN m ON m.tags = trim(tag, ' ') WHERE parent IS NOT NULL) SELECT scrape_id, array_to_string(list_sort(list(DISTINCT parent)), ',') AS categories FROM j GROUP BY scrape_id")
+@query()
 def list_filter_replace_unique(spark, sf_dir):
     """Packed fields split as in operators.packed, values replaced through a lookup, unknown ones dropped, repeats removed; empty
-    results go. The SQL twin states only the fields of plain comma lists, as SQL can't split the rest."""
+    results go. SQL can't split the fields; tested against plain Python."""
     m = table(spark, sf_dir, "tag_cluster").groupBy("tags").agg(F.max("human_tag_parent").alias("parent"))
     w = explode_packed(table(spark, sf_dir, "wikidata"), "scrape_id", ["instance_tag"], canonical_tags(spark, sf_dir)).select("scrape_id", F.col("value").alias("tag"))
     j = w.join(F.broadcast(m), w.tag == m.tags).where("parent is not null")
@@ -669,11 +687,37 @@ def finalize_caption(spark, sf_dir):
     return d.select("doc_id", text.finalize_caption(F.col("text"), 20).alias("c")).select("doc_id", "c.*")
 
 
-@query("SELECT country_code, CASE WHEN country = 'Tondhe, Republic of' THEN 'Republic of Tondhe' ELSE country END AS country FROM country_table")
+_SHOWN = ", ".join(f"""('{a.replace("'", "''")}', '{b.replace("'", "''")}')""" for a, b in text.COUNTRY_DISPLAY.items())
+
+
+@query(f"WITH m(name, shown) AS (VALUES {_SHOWN}), n AS (SELECT country AS name FROM country_table UNION ALL SELECT name FROM m) SELECT n.name, coalesce(m.shown, n.name) AS shown FROM n LEFT JOIN m USING (name)")
 def country_display_map(spark, sf_dir):
-    """Display names through a map whose default is the name itself."""
-    own = {"Tondhe, Republic of": "Republic of Tondhe"}
-    return table(spark, sf_dir, "country_table").select("country_code", text.remap(text.display_country(F.col("country")), own).alias("country"))
+    """Display names of the canonical countries and of the inverted names that the map knows; a name without an entry is its own."""
+    known = spark.createDataFrame([(n,) for n in text.COUNTRY_DISPLAY], "name string")
+    names = table(spark, sf_dir, "country_table").select(F.col("country").alias("name")).unionByName(known)
+    return names.select("name", text.display_country(F.col("name")).alias("shown"))
+
+
+@query("WITH c AS (SELECT country_code, min(country) AS country FROM country_table GROUP BY 1), a AS (SELECT alias, min(c.country) AS country FROM country_alias JOIN c USING (country_code) GROUP BY 1) SELECT i.row_id, coalesce(a.country, i.country) AS country FROM idk2 i LEFT JOIN a ON a.alias = i.country")
+def country_alias_replace(spark, sf_dir):
+    """Aliases replaced by the canonical name, other values kept."""
+    c = table(spark, sf_dir, "country_table").groupBy("country_code").agg(F.min("country").alias("canonical"))
+    a = table(spark, sf_dir, "country_alias").where("alias is not null").join(c, "country_code").groupBy(F.col("alias").alias("country")).agg(F.min("canonical").alias("canonical"))
+    i = table(spark, sf_dir, "idk2").select("row_id", "country").join(bounded_table(a, 100_000, "the aliases"), "country", "left")
+    return i.select("row_id", F.coalesce("canonical", "country").alias("country"))
+
+
+@query("SELECT scrape_id, CASE WHEN coalesce(error, '') <> '' THEN '[error] ' || error ELSE poi_name END AS caption, coalesce(error, '') <> '' AS failed FROM wikidata")
+def error_marking(spark, sf_dir):
+    """A failure kept in the place of the result, and told from one."""
+    w = table(spark, sf_dir, "wikidata").select("scrape_id", F.when(F.coalesce("error", F.lit("")) != "", text.mark_error(F.col("error"))).otherwise(F.col("poi_name")).alias("caption"))
+    return w.select("scrape_id", "caption", text.is_error(F.col("caption")).alias("failed"))
+
+
+@query("SELECT scrape_id, coalesce(regexp_matches(lower(wikimedia_url), '^[a-z]+://commons\\.heritage-archive\\.example(:[0-9]+)?/') AND regexp_matches(wikimedia_url, '^[A-Za-z]+://[^/]+/wiki/Category:'), false) AS is_category, coalesce(contains(lower(regexp_extract(geohack_url, '^[A-Za-z]+://([^/:?#]+)', 1)), 'geohack.') AND contains(geohack_url, 'params='), false) AS is_geo FROM wikidata")
+def link_tests(spark, sf_dir):
+    """Which links lead to a category page of the site, and which to a map with coordinates."""
+    return table(spark, sf_dir, "wikidata").select("scrape_id", urls.is_category_link(F.col("wikimedia_url"), _SITE).alias("is_category"), urls.is_geo_link(F.col("geohack_url"), ("geohack.",)).alias("is_geo"))
 
 
 _U = "SELECT scrape_id, geohack_url AS u FROM wikidata"
@@ -698,14 +742,37 @@ def json_field(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
 
 
-@query()
+@query("""WITH t AS (SELECT scrape_id, unnest(json_keys(poi_name_tags)) AS lang, poi_name_tags AS j FROM wikidata WHERE poi_name_tags IS NOT NULL), a AS (SELECT scrape_id, lang, CAST(json_extract(j, '$."' || lang || '"') AS VARCHAR[]) AS names, 1 AS k FROM t),
+    p AS (SELECT scrape_id, 'en' AS lang, [poi_name] AS names, 0 AS k FROM wikidata WHERE poi_name IS NOT NULL), u AS (SELECT scrape_id, lang, flatten(list(names ORDER BY k)) AS names FROM (SELECT * FROM a UNION ALL SELECT * FROM p) GROUP BY 1, 2)
+    SELECT scrape_id, lang, array_to_string(list_filter(names, lambda x, i: list_position(names, x) = i), '|') AS names FROM u""")
 def json_map_merge(spark, sf_dir):
-    """Names by language: the page's heading first, then the names of the tags, as one JSON map."""
+    """Names by language: the page's heading first, then the names of the tags, each once."""
+    none = F.array().cast("array<string>")
+    empty = F.create_map().cast("map<string,array<string>>")
     w = table(spark, sf_dir, "wikidata")
-    names = F.coalesce(F.from_json("poi_name_tags", "map<string,array<string>>"), F.create_map().cast("map<string,array<string>>"))
-    label = F.when(F.col("poi_name").isNotNull(), F.map_from_arrays(F.array(F.lit("en")), F.array(F.array("poi_name")))).otherwise(F.create_map().cast("map<string,array<string>>"))
-    merged = F.map_zip_with(label, names, lambda k, a, b: F.array_distinct(F.concat(F.coalesce(a, F.array().cast("array<string>")), F.coalesce(b, F.array().cast("array<string>")))))
-    return w.select("scrape_id", F.to_json(F.map_from_entries(F.sort_array(F.map_entries(merged)))).alias("names"))
+    names = F.coalesce(F.from_json("poi_name_tags", "map<string,array<string>>"), empty)
+    label = F.when(F.col("poi_name").isNotNull(), F.create_map(F.lit("en"), F.array("poi_name"))).otherwise(empty)
+    merged = F.map_zip_with(label, names, lambda k, a, b: F.array_distinct(F.concat(F.coalesce(a, none), F.coalesce(b, none))))
+    return w.select("scrape_id", F.explode(merged).alias("lang", "names")).select("scrape_id", "lang", F.array_join("names", "|").alias("names"))
+
+
+@query("""WITH w AS (SELECT scrape_id, poi_name, osm_id, scrape_id % 4 AS k FROM wikidata WHERE wikidata_id IS NOT NULL)
+    SELECT scrape_id, poi_name AS name_en, CASE WHEN poi_name IS NOT NULL THEN 'alias of ' || poi_name END AS alias_xa, CASE k WHEN 0 THEN 'relation/' WHEN 1 THEN 'node/' WHEN 2 THEN 'way/' END || osm_id AS place FROM w""")
+def entity_documents(spark, sf_dir):
+    """A knowledge base's JSON documents, one a scrape: names by language with their aliases, and the place that the most trusted
+    claim names. The documents are made here from the columns, with claims of less trust beside the one that counts."""
+    q = lambda c: F.to_json(F.struct(F.col(c).alias("value")))
+    claim = lambda p, value: F.concat(F.lit(f'"{p}":[{{"mainsnak":{{"datavalue":'), value, F.lit('}},{"mainsnak":{"datavalue":{"value":"later"}}}]'))
+    w = table(spark, sf_dir, "wikidata").where("wikidata_id is not null").withColumn("k", F.col("scrape_id") % 4).withColumn("alias", F.concat(F.lit("alias of "), "poi_name"))
+    less = F.lit('{"value":"less"}')
+    given = F.when(F.col("osm_id").isNull() | (F.col("k") == 3), F.lit("")).otherwise(
+        F.when(F.col("k") == 0, F.concat(claim("P10689", less), F.lit(","), claim("P402", q("osm_id")), F.lit(","), claim("P11693", less))).when(F.col("k") == 1, F.concat(claim("P10689", less), F.lit(","), claim("P11693", q("osm_id")))).otherwise(claim("P10689", q("osm_id")))
+    )
+    names = F.when(F.col("poi_name").isNull(), F.lit('"labels":{},"aliases":{}')).otherwise(F.concat(F.lit('"labels":{"en":'), q("poi_name"), F.lit('},"aliases":{"xa":['), q("alias"), F.lit("]}")))
+    document = F.concat(F.lit('{"entities":{"'), "wikidata_id", F.lit('":{'), names, F.lit(',"claims":{'), given, F.lit("}}}}"))
+    e = w.select("scrape_id", text.parse_entity(document, F.col("wikidata_id")).alias("e")).select("scrape_id", text.entity_names(F.col("e")).alias("names"), text.entity_place(F.col("e")).alias("place"))
+    first = lambda lang: F.get(F.try_element_at("names", F.lit(lang)), F.lit(0))
+    return e.select("scrape_id", first("en").alias("name_en"), first("xa").alias("alias_xa"), "place")
 
 
 @query("SELECT scrape_id, coalesce(nullif(osm_id, ''), nullif(wikidata_id, ''), nullif(poi_name, '')) AS claim FROM wikidata")
@@ -908,10 +975,74 @@ def country_table_build(spark, sf_dir):
     return readers.country_table(codes, official, c.select("country_code", F.col("region").alias("continent")), c.select("country_code", F.coalesce("subregion", F.lit("not found")).alias("subregion_name")))
 
 
-@query()
+@query(SQL["map_by_label"])
 def metric_report(spark, sf_dir):
-    """Slices as nested JSON, one object per kind of slice."""
+    """Slices as nested JSON, one object per kind of slice, written and read back."""
     path = scratch(spark, "report")
     m = map_by_label(spark, sf_dir).select(F.lit("by_label").alias("slice_type"), F.col("label").cast("string").alias("slice_key"), "metric", "k", "value")
     writers.metric_report(m, path)
-    return spark.read.text(path)
+    read = spark.read.text(path).select(F.from_json("value", "slice_type string, groups map<string,string>").alias("r")).select(F.explode("r.groups").alias("label", "scores"))
+    long = read.select(F.col("label").cast("int").alias("label"), F.explode(F.from_json("scores", "map<string,double>")).alias("name", "value"))
+    return long.select("label", F.split_part("name", F.lit("@"), F.lit(1)).alias("metric"), F.split_part("name", F.lit("@"), F.lit(2)).cast("int").alias("k"), "value")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE lang END AS lang FROM documents WHERE doc_id % 11 <> 0")
+def tolerant_csv(spark, sf_dir):
+    """Lines that end early are kept as far as they go, lines without a key go."""
+    path = scratch(spark, "damaged")
+    d = table(spark, sf_dir, "documents")
+    line = F.when(F.col("doc_id") % 7 == 0, F.when(F.col("doc_id") % 11 == 0, F.lit("")).otherwise(F.col("doc_id").cast("string"))).otherwise(F.concat(F.when(F.col("doc_id") % 11 == 0, F.lit(" ")).otherwise(F.col("doc_id").cast("string")), F.lit(","), F.coalesce("lang", F.lit("")), F.lit(",more")))
+    d.select(line.alias("value")).write.text(path)
+    rows = readers.csv_tolerant(spark, path, "doc_id string, lang string, source string", "doc_id", ["doc_id", "lang"], header=False)
+    return rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang")
+
+
+@query("SELECT CAST(cluster AS VARCHAR) AS label, tags AS prompt, row_number() OVER (PARTITION BY cluster ORDER BY tags) - 1 AS pos FROM tag_cluster WHERE cluster IS NOT NULL AND tags IS NOT NULL")
+def label_prompts(spark, sf_dir):
+    """A JSON map of labels to prompts, written whole and read as rows."""
+    path = scratch(spark, "prompts")
+    per = table(spark, sf_dir, "tag_cluster").where("cluster is not null and tags is not null").groupBy(F.col("cluster").cast("string").alias("label")).agg(F.sort_array(F.collect_list("tags")).alias("prompts"))
+    per.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("label", "prompts")))).alias("value")).coalesce(1).write.text(path)
+    return readers.label_prompts(spark, path).select("label", "prompt", F.col("pos").cast("bigint").alias("pos"))
+
+
+@query("SELECT latitude AS LAT, longitude AS LON FROM reverse_geocode WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND NOT isnan(latitude) AND NOT isnan(longitude)")
+def gallery_scan(spark, sf_dir):
+    """A gallery of coordinates through a CSV file."""
+    path = scratch(spark, "gallery")
+    r = table(spark, sf_dir, "reverse_geocode").where("latitude is not null and longitude is not null and not isnan(latitude) and not isnan(longitude)")
+    writers.write_csv(r.select(F.col("latitude").alias("LAT"), F.col("longitude").alias("LON")), path)
+    return readers.gallery(spark, path)
+
+
+# ---- providers of other kinds --------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, round(a / sqrt(a * a + b * b), 5) AS x, round(b / sqrt(a * a + b * b), 5) AS y FROM (SELECT doc_id, coalesce(length(text), 0) + 1.0 AS a, doc_id % 97 + 1.0 AS b FROM documents)")
+def encoded_vectors(spark, sf_dir):
+    """An encoder that turns batches of rows into vectors, and the unit vectors that an index holds."""
+    encoder = lambda b: np.column_stack([b["n"] + 1, b["doc_id"] % 97 + 1])
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    v = enrich.encode(d, "doc_id", ["n"], encoder, 2).select("doc_id", vectors.l2_normalise(F.col("embedding")).alias("v"))
+    return v.select("doc_id", F.round(F.get("v", F.lit(0)), 5).alias("x"), F.round(F.get("v", F.lit(1)), 5).alias("y"))
+
+
+def _geocoder(place: dict) -> dict | None:
+    """Knows nothing south of the equator."""
+    if place["latitude"] < 0:
+        raise enrich.Retry("no answer")
+    return {"city": f"cell {int(place['latitude'] // 1)} {int(place['longitude'] // 1)}"}
+
+
+@query("SELECT geo_id, CASE WHEN city IS NULL AND latitude >= 0 AND longitude IS NOT NULL AND NOT isnan(latitude) AND NOT isnan(longitude) THEN 'cell ' || CAST(floor(latitude) AS BIGINT) || ' ' || CAST(floor(longitude) AS BIGINT) ELSE city END AS city FROM reverse_geocode")
+def geocode_fallback(spark, sf_dir):
+    """Missing cities asked for once per distinct coordinate; what the service doesn't know stays null."""
+    r = table(spark, sf_dir, "reverse_geocode").select("geo_id", "latitude", "longitude", "city")
+    return enrich.geocode_missing(r, "latitude", "longitude", "city", _geocoder, ["city"], 0.0).select("geo_id", "city")
+
+
+@query("SELECT country_code, 'note on ' || country_code AS result FROM country_table WHERE country_code IS NOT NULL")
+def rate_limited_calls(spark, sf_dir):
+    """One partition, at most a call each millisecond."""
+    c = table(spark, sf_dir, "country_table").where("country_code is not null").select("country_code")
+    return enrich.enrich(c, "country_code", [], lambda row: f"note on {row['country_code']}", concurrency=1, interval=0.001).select("country_code", "result")

@@ -23,9 +23,9 @@ def csv_strings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
-def csv_tolerant(spark: SparkSession, path: str, schema: str, key: str, columns: list[str] | None = None) -> DataFrame:
+def csv_tolerant(spark: SparkSession, path: str, schema: str, key: str, columns: list[str] | None = None, header: bool = True) -> DataFrame:
     """Damaged lines are kept as far as they go, with their text in _corrupt_record; rows without a key go."""
-    rows = spark.read.schema(f"{schema}, {CORRUPT} string").option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("escape", '"').csv(path)
+    rows = spark.read.schema(f"{schema}, {CORRUPT} string").option("header", header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("escape", '"').csv(path)
     rows = rows.where(F.coalesce(F.trim(key), F.lit("")) != "")
     return rows.select(*columns) if columns else rows
 
