@@ -839,36 +839,64 @@ def segment_ratio(spark, sf_dir):
 _SITE, _GEO = "commons.heritage-archive.example", ("geohack.heritage-archive.example",)
 
 
-def _pages(spark, sf_dir) -> DataFrame:
-    """A category page for every scrape, without the elements of its null fields."""
+def _pages(spark, sf_dir, moves: bool = False) -> DataFrame:
+    """A category page for every scrape, without the elements of its null fields; with moves, every fifth has a notice, every third
+    says where it is now, and all have a plain link."""
     safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
     part = lambda before, c, after: F.coalesce(F.concat(F.lit(before), safe(c), F.lit(after)), F.lit(""))
+    link = lambda name: F.concat(F.lit(f'<a href="/wiki/Category:{name}_'), F.col("scrape_id").cast("string"), F.lit('">link</a>'))
+    some = lambda n, *html: F.when(F.lit(moves) & (F.col("scrape_id") % n == 0), F.concat(*html)).otherwise(F.lit(""))
     html = F.concat(
         F.lit('<html><head><script>var x = "</p>";</script>'), part('<link rel="canonical" href="', "wikimedia_url", '">'), F.lit("</head><body>"),
-        part('<h1 id="firstHeading">Category:', "poi_name", "</h1>"), F.lit("<p>About"), part('<a href="', "geohack_url", '">map</a><br>'), part('<a href="https://www.wikidata.org/wiki/', "wikidata_id", '">item</a>'), F.lit("</p>"),
-        part('<table id="wdinfobox"><tr><th class="wikidatainfobox-lcell">Instance of</th><td><a>', "instance_tag", "</a></td></tr></table>"), F.lit("</body></html>"),
+        part('<h1 id="firstHeading">Category:', "poi_name", "</h1>"), some(5, F.lit('<div class="hatnote">Not '), link("Hat"), F.lit("</div>")), F.lit('<div id="mw-content-text">'), some(1, F.lit("<ul><li>"), link("Plain"), F.lit("</li></ul>")),
+        some(3, F.lit("<p>This page is now at "), link("New"), F.lit("</p>")), F.lit("<p>About"), part('<a href="', "geohack_url", '">map</a><br>'), part('<a href="https://www.wikidata.org/wiki/', "wikidata_id", '">item</a>'), F.lit("</p></div>"),
+        part('<table id="wdinfobox"><tr><th class="wikidatainfobox-lcell">Instance of</th><td><a>', "instance_tag", '</a></td></tr><tr><th class="wikidatainfobox-lcell">Height</th><td><a>12</a></td></tr></table>'), F.lit("</body></html>"),
     )
     return table(spark, sf_dir, "wikidata").select("scrape_id", html.alias("html"), "wikimedia_url")
 
 
-@query("SELECT scrape_id, geohack_url, trim(poi_name) AS poi_name, wikidata_id FROM wikidata WHERE poi_name IS NOT NULL AND geohack_url IS NOT NULL AND wikidata_id IS NOT NULL")
+_PLAIN_TEXT = "trim(regexp_replace({}, '[\\s\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{3000}}]+', ' ', 'g'), ' ')"
+
+
+@query(f"""WITH w AS (SELECT *, lower(regexp_extract(wikimedia_url, '^[A-Za-z]+://([^/:?#]+)', 1)) = '{_SITE}' AS here, regexp_extract(wikimedia_url, '^[A-Za-z]+://[^/]+') || '/wiki/Category:' AS base FROM wikidata),
+    l AS (SELECT *, [CASE WHEN here AND scrape_id % 5 = 0 THEN base || 'Hat_' || scrape_id END, CASE WHEN here AND scrape_id % 3 = 0 THEN base || 'New_' || scrape_id END, CASE WHEN here AND regexp_matches(wikimedia_url, '^[A-Za-z]+://[^/]+/wiki/Category:') THEN wikimedia_url END, CASE WHEN here THEN base || 'Plain_' || scrape_id END] AS links FROM w)
+    SELECT scrape_id, geohack_url, {_PLAIN_TEXT.format('poi_name')} AS poi_name, nullif(regexp_extract('/' || wikidata_id, '/(Q[0-9]+)(?:[^0-9]|$)', 1), '') AS wikidata_id, nullif({_PLAIN_TEXT.format('instance_tag')}, '') AS instance_tag, array_to_string(list_filter(links, lambda x: x IS NOT NULL), ' ') AS candidate_links FROM l""")
+def page_links(spark, sf_dir):
+    """All parsed fields of pages with notices, moves and plain links, the links best first."""
+    return pages.page_fields(_pages(spark, sf_dir, moves=True), "scrape_id", "html", "wikimedia_url", _SITE, _GEO).withColumn("candidate_links", F.array_join("candidate_links", " "))
+
+
+@query()
 def page_fields(spark, sf_dir):
-    """All parsed fields of every page. The SQL twin states three of them, for the scrapes that have all three."""
+    """All parsed fields of every page, its links as a list; tested against plain Python."""
     return pages.page_fields(_pages(spark, sf_dir), "scrape_id", "html", "wikimedia_url", _SITE, _GEO)
 
 
 def _site(url: str) -> tuple[str, str]:
-    """A made-up site: every page has moved once, the new one has the fields."""
-    if "Moved_" not in url:
-        name = url.rsplit(":", 1)[-1]
-        return url, f'<div id="mw-content-text"><p>This category has moved to <a href="/wiki/Category:Moved_{name}">here</a></p></div>'
-    return url, f'<h1 id="firstHeading">Category:{url.rsplit("Moved_", 1)[-1]}</h1><a href="https://{_GEO[0]}/x?params=1_30_N_2_15_W">m</a><a href="https://www.wikidata.org/wiki/Q7">q</a>'
-
-
-@query("SELECT DISTINCT wikimedia_url AS input_url, 1.5 AS latitude, -2.25 AS longitude, 2 AS pages FROM wikidata WHERE wikimedia_url IS NOT NULL AND NOT contains(wikimedia_url, 'Moved_')")
+    """A made-up site: every page has moved once; the new one has the fields, or leads on to one that has the place, or is gone."""
+    name = url.rsplit(":", 1)[-1]
+    kind = len(url.removeprefix("https://")) % 3
+    if name.startswith("Moved_"):
+        kind = (len(url.removeprefix("https://")) - len("Moved_")) % 3
+    meta = f'<h1 id="firstHeading">Category:{name}</h1><a href="https://www.wikidata.org/wiki/Q7">q</a>'
+    place = f'<a href="https://{_GEO[0]}/x?params=1_{len(url) % 60}_N_2_15_W">m</a>'
+    if not name.startswith(("Moved_", "Found_")):
+        return url, f'<div id="mw-content-text"><p>This category is now at <a href="/wiki/Category:Moved_{name}">here</a></p></div>'
+    if name.startswith("Found_"):
+        return url, place
+    if kind == 2:
+        raise ValueError("gone")
+    return url, meta + (place if kind == 0 else f'<div class="hatnote">See <a href="/wiki/Category:Found_{name}">map</a></div>')
+
+
+@query("""WITH u AS (SELECT DISTINCT wikimedia_url AS u FROM wikidata WHERE wikimedia_url IS NOT NULL), s AS (SELECT u, regexp_replace(u, '^http://', 'https://') AS a, regexp_extract(u, '([^:]*)$', 1) AS name FROM u),
+    k AS (SELECT *, length(a) - 8 AS n, 'https://commons.heritage-archive.example/wiki/Category:Moved_' || name AS moved FROM s),
+    t AS (SELECT *, (length(moved) - 8 - 6) % 3 AS kind FROM k)
+    SELECT u AS input_url, CASE kind WHEN 0 THEN round(1 + (length(moved) % 60) / 60.0, 9) WHEN 1 THEN round(1 + ((length(moved) + 6) % 60) / 60.0, 9) END AS latitude, CASE WHEN kind < 2 THEN -2.25 END AS longitude, CASE WHEN kind < 2 THEN 'Moved_' || name END AS poi_name, CASE kind WHEN 1 THEN 3 ELSE 2 END AS pages, CASE WHEN kind = 2 THEN 'ValueError: gone' END AS error FROM t""")
 def bfs_crawl(spark, sf_dir):
-    w = table(spark, sf_dir, "wikidata").where("not contains(wikimedia_url, 'Moved_')")
-    return pages.crawl(w, "wikimedia_url", _site, _SITE, _GEO).select("input_url", "latitude", "longitude", "pages")
+    w = table(spark, sf_dir, "wikidata")
+    found = pages.crawl(w, "wikimedia_url", _site, _SITE, _GEO, tries=1)
+    return found.select("input_url", F.round("latitude", 9).alias("latitude"), "longitude", "poi_name", "pages", "error")
 
 
 def _provider(row: dict) -> str:
