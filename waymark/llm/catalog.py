@@ -154,6 +154,17 @@ SQL = {
         e AS (SELECT DISTINCT x.l AS a, y.l AS b FROM d x JOIN d y ON x.image = y.image AND x.l <> y.l),
         r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
         SELECT a AS landmark_id_1, b AS landmark_id_2 FROM r WHERE a < b""",
+    "p1_report": """
+        WITH long AS (
+            SELECT id, 'category' AS field_name, lower(trim(category, ' ')) AS label FROM image_pool
+            UNION ALL SELECT id, 'continent', lower(trim(continent, ' ')) FROM image_pool
+            UNION ALL SELECT id, 'country', lower(trim(country, ' ')) FROM image_pool),
+        c AS (SELECT field_name, label, count(DISTINCT id) AS available FROM long GROUP BY 1, 2),
+        n AS (SELECT count(DISTINCT id) AS n FROM image_pool),
+        t AS (SELECT t.plan_id, t.field_name, t.field_value, greatest(t.min_rows, t.target_share * t.sample_fraction * n.n) AS wanted, coalesce(c.available, 0) AS available
+              FROM sample_target t CROSS JOIN n LEFT JOIN c ON c.field_name = t.field_name AND c.label = lower(trim(t.field_value, ' '))),
+        d AS (SELECT *, CAST(least(ceil(wanted - 1e-9), available) AS BIGINT) AS drawn FROM t)
+        SELECT *, drawn / nullif(sum(drawn) OVER (PARTITION BY plan_id), 0) AS share, wanted <= available AS met FROM d""",
     "p1_found": """
         WITH long AS (
             SELECT id, 'category' AS field_name, lower(trim(category, ' ')) AS label FROM image_pool
