@@ -20,6 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.runtime import cut_lineage
+
 
 class _Open:
     """The run that a partition's last batch left open."""
@@ -122,5 +124,6 @@ def key_states(df: DataFrame, key: str | Column, order: str | Column | None, tie
 
 def hot_keys(states: DataFrame, share: float) -> DataFrame:
     """Keys with more than `share` of all rows that have a key."""
+    states = cut_lineage(states)  # one row a key; made once for the total and the rows
     total = states.agg(F.sum("n").alias("total"))
     return states.crossJoin(F.broadcast(total)).where(F.col("n") > F.lit(share) * F.col("total")).select("key", "n")

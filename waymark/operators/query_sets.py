@@ -1,4 +1,8 @@
-"""Retrieval queries with their ground truth."""
+"""Retrieval queries with their ground truth.
+
+ground_truth() gives one row per relevant row, at any size. The operators that give lists are for query files: a list of more than
+MAX_LIST entries is an error, so no group is gathered without a bound.
+"""
 
 from __future__ import annotations
 
@@ -8,21 +12,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions.text import display_country, query_text, training_caption
+from waymark.runtime import cut_lineage, join_counted
 
 
-def build_queries(rows: DataFrame, granularity: str, geo: str, category: str = "category", row: str = "row_idx", min_relevant: int = 5) -> DataFrame:
-    """(stratify_key, text, category, geo, granularity, relevant): one per (category, geo) of at least min_relevant rows.
+MAX_LIST = 1_000_000
+
+
+def short_groups(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rows as they are; an error where a group has more than MAX_LIST of them."""
+    most = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).collect()[0][0]
+    if (most or 0) > MAX_LIST:
+        raise ValueError(f"a list of {most} entries; ask for ground_truth() rows instead")
+    return rows
+
+
+def _queries(groups: DataFrame, granularity: str) -> list[Column]:
+    return [F.concat_ws("|", "category", "geo").alias("stratify_key"), query_text(granularity, F.col("category"), F.col("geo")).alias("text"), F.col("category"), F.col("geo"), F.lit(granularity).alias("granularity")]
 
-    Null categories and geos give no query. `relevant` is the answer itself, so it is as long as the group."""
-    groups = rows.where(F.col(category).isNotNull() & F.col(geo).isNotNull()).groupBy(F.col(category).alias("category"), F.col(geo).alias("geo")).agg(F.sort_array(F.collect_list(row)).alias("relevant"))
-    kept = groups.where(F.size("relevant") >= min_relevant)
-    return kept.select(F.concat_ws("|", "category", "geo").alias("stratify_key"), query_text(granularity, F.col("category"), F.col("geo")).alias("text"), "category", "geo", F.lit(granularity).alias("granularity"), "relevant")
+
+def ground_truth(rows: DataFrame, granularity: str, geo: str, category: str = "category", row: str = "row_idx", min_relevant: int = 5) -> DataFrame:
+    """(stratify_key, text, category, geo, granularity, n_relevant, row): each relevant row of each query of at least min_relevant rows.
+
+    Null categories and geos give no query. Rows of a heavy group aren't shuffled."""
+    own = rows.where(F.col(category).isNotNull() & F.col(geo).isNotNull()).select(F.col(category).alias("category"), F.col(geo).alias("geo"), row)
+    groups = cut_lineage(own.groupBy("category", "geo").agg(F.count("*").alias("n")))
+    found = join_counted(own, groups.withColumn("n_relevant", F.col("n")), ["category", "geo"]).where(F.col("n_relevant") >= min_relevant)
+    return found.select(*_queries(found, granularity), "n_relevant", row)
+
+
+def build_queries(rows: DataFrame, granularity: str, geo: str, category: str = "category", row: str = "row_idx", min_relevant: int = 5) -> DataFrame:
+    """(stratify_key, text, category, geo, granularity, relevant): one per (category, geo) of at least min_relevant rows, which are
+    listed in order. Null categories and geos give no query."""
+    own = rows.where(F.col(category).isNotNull() & F.col(geo).isNotNull()).select(F.col(category).alias("category"), F.col(geo).alias("geo"), row)
+    groups = short_groups(own, ["category", "geo"]).groupBy("category", "geo").agg(F.sort_array(F.collect_list(row)).alias("relevant"))
+    return groups.where(F.size("relevant") >= min_relevant).select(*_queries(groups, granularity), "relevant")
 
 
 def templated_grid(countries: DataFrame, categories: DataFrame, rows: DataFrame, item: str) -> DataFrame:
     """Every category in every country of two fixed lists, with the matching items; no match is an empty list."""
     grid = countries.select("country", "region").crossJoin(F.broadcast(categories.select("category")))
-    truth = rows.groupBy("category", "country").agg(F.sort_array(F.collect_list(item)).alias("relevant"))
+    truth = short_groups(rows, ["category", "country"]).groupBy("category", "country").agg(F.sort_array(F.collect_list(item)).alias("relevant"))
     full = grid.join(truth, ["category", "country"], "left")
     return full.select(training_caption(F.col("category"), F.col("country")).alias("text"), "category", F.col("country").alias("raw_country"), display_country(F.col("country")).alias("country"), "region", F.coalesce("relevant", F.array().cast(truth.schema["relevant"].dataType)).alias("relevant"))
 
@@ -63,6 +92,6 @@ def composed_queries(targets: DataFrame, level: str) -> DataFrame:
     """(query_id, granularity, caption, ref_id, target_ids): one per seed and target country, or per other continent."""
     rows = targets if level == "country" else targets.where("continent <> ref_continent")
     mark = {"country": "c1", "continent": "c2"}[level]
-    g = rows.groupBy(F.col("query_id").alias("ref_id"), F.col(level).alias("geo")).agg(F.sort_array(F.collect_list("vec_id")).alias("target_ids"))
+    g = short_groups(rows, ["query_id", level]).groupBy(F.col("query_id").alias("ref_id"), F.col(level).alias("geo")).agg(F.sort_array(F.collect_list("vec_id")).alias("target_ids"))
     name = F.concat(F.lit("sub_"), F.col("ref_id"), F.lit("_q_"), F.col("ref_id"), F.lit(f"_{mark}_"), F.col("geo"))
     return g.select(name.alias("query_id"), F.lit(level).alias("granularity"), F.concat(F.lit("similar landmark located in "), F.col("geo")).alias("caption"), "ref_id", "target_ids")

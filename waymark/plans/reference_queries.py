@@ -12,7 +12,7 @@ from waymark.functions import geo, text, urls, vectors
 from waymark.operators import losses, pages, places, query_sets, ranking, relational, samplers, splits
 from waymark.operators.packed import explode_packed
 from waymark.plans.data_problems import canonical_tags
-from waymark.runtime import bounded_rows, bounded_table, cut_lineage, scratch, table
+from waymark.runtime import bounded_rows, bounded_table, cut_lineage, join_counted, scratch, table
 from waymark.sources import readers, writers
 from waymark.streaming import enrich
 
@@ -315,6 +315,13 @@ def build_queries_subregion(spark, sf_dir):
     return _build(spark, sf_dir, "subregion", "subregion")
 
 
+@query("WITH p AS (SELECT row_idx, lower(trim(category, ' ')) AS category, trim(country, ' ') AS geo FROM image_pool WHERE category IS NOT NULL AND country IS NOT NULL), g AS (SELECT *, count(*) OVER (PARTITION BY category, geo) AS n_relevant FROM p) SELECT category || '|' || geo AS stratify_key, 'A ' || category || ' landmark located in ' || geo AS text, category, geo, 'country' AS granularity, n_relevant, row_idx FROM g WHERE n_relevant >= 5")
+def query_ground_truth(spark, sf_dir):
+    """The same queries with one row per relevant row, which has no bound."""
+    p = table(spark, sf_dir, "image_pool").select("row_idx", _label("category").alias("category"), F.trim("country").alias("place"))
+    return query_sets.ground_truth(p, "country", "place")
+
+
 _CITY = "city AS (SELECT id, min(city) AS city FROM reverse_geocode WHERE city IS NOT NULL GROUP BY id)"
 
 
@@ -328,7 +335,8 @@ def build_queries_city(spark, sf_dir):
 @query(f"WITH {_POOL} SELECT category, country, arg_min(continent, row_idx) AS region, count(*) AS n, array_to_string(list_sort(list(row_idx)), ',') AS relevant FROM pool WHERE continent IS NOT NULL GROUP BY 1, 2")
 def build_queries_with_region(spark, sf_dir):
     """The variant that carries the group's first region and applies no threshold."""
-    g = _pool(spark, sf_dir).where("continent is not null").groupBy("category", "country").agg(F.min_by("continent", "row_idx").alias("region"), F.count("*").alias("n"), F.sort_array(F.collect_list("row_idx")).alias("relevant"))
+    p = query_sets.short_groups(_pool(spark, sf_dir).where("continent is not null"), ["category", "country"])
+    g = p.groupBy("category", "country").agg(F.min_by("continent", "row_idx").alias("region"), F.count("*").alias("n"), F.sort_array(F.collect_list("row_idx")).alias("relevant"))
     return writers.flat_lists(g)
 
 
@@ -614,9 +622,9 @@ def coalesce_fill_join(spark, sf_dir):
 @query("WITH c AS (SELECT latitude, longitude, min(country_code) AS country_code FROM reverse_geocode WHERE latitude IS NOT NULL AND longitude IS NOT NULL GROUP BY 1, 2) SELECT r.geo_id, c.country_code FROM reverse_geocode r LEFT JOIN c ON c.latitude = r.latitude AND c.longitude = r.longitude")
 def float_key_join(spark, sf_dir):
     """Exact equality on two coordinates, as cached lookups by coordinate need it."""
-    r = table(spark, sf_dir, "reverse_geocode")
-    c = r.where("latitude is not null and longitude is not null").groupBy("latitude", "longitude").agg(F.min("country_code").alias("country_code"))
-    return r.select("geo_id", "latitude", "longitude").join(c, ["latitude", "longitude"], "left").select("geo_id", "country_code")
+    r = table(spark, sf_dir, "reverse_geocode").select("geo_id", "latitude", "longitude", "country_code")
+    c = r.where("latitude is not null and longitude is not null").groupBy("latitude", "longitude").agg(F.min("country_code").alias("code"), F.count("*").alias("n"))
+    return join_counted(r.drop("country_code"), cut_lineage(c), ["latitude", "longitude"]).select("geo_id", F.col("code").alias("country_code"))
 
 
 @query("WITH n AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_idx, doc_id FROM documents) SELECT row_idx, doc_id FROM n")
