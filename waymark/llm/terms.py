@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.operators.packed import inner_marks, split_packed
+from waymark.runtime import cut_lineage
 
 RARE_RECORDS = 2
 COMMON_SHARE = 0.1
@@ -49,7 +50,7 @@ def plain_term_counts(df: DataFrame, column: str) -> DataFrame:
 
 def term_frequencies(partial: DataFrame, field: str, rare: int = RARE_RECORDS, common: float = COMMON_SHARE) -> DataFrame:
     """(field, term, occurrences, records, mark): mark is 'rare', 'common' or null; rare goes first in tiny tables."""
-    added = partial.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    added = cut_lineage(partial.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")))  # once, for the terms and for the records that hold any
     holding = added.where("term is null").select(F.col("records").alias("holding"))
     mark = F.when(F.col("records") <= rare, "rare").when(F.col("records") > F.lit(common) * F.col("holding"), "common")
     return added.where("term is not null").crossJoin(F.broadcast(holding)).select(F.lit(field).alias("field"), "term", "occurrences", "records", mark.alias("mark"))
