@@ -130,11 +130,13 @@ def close_pairs(points: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarra
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _cells(places: DataFrame, total: int, reach: float, per_cell: int, keep: str = "") -> DataFrame:
-    """(cell, own, lat, lon and, where named, a bigint column) of each location in its own cell and as halo copies."""
+def _cells(places: DataFrame, rows: DataFrame, total: int, reach: float, per_cell: int, keep: str = "") -> DataFrame:
+    """(cell, own, lat, lon and, where named, a bigint column) of each location in its own cell and as halo copies.
+
+    The sample is taken of rows (`total` of them), which may repeat locations; what it drew twice counts once."""
     wanted = int(min(MAX_CELLS, max(16, total / per_cell)))
     share = min(1.0, SAMPLE_PER_CELL * wanted / max(1, total))
-    sample = places.select("lat", "lon").sample(share, 17).limit(2 * SAMPLE_PER_CELL * MAX_CELLS).toPandas()
+    sample = rows.select("lat", "lon").sample(share, 17).limit(2 * SAMPLE_PER_CELL * MAX_CELLS).distinct().toPandas()
     leaves = min(wanted, max(1, len(sample) // 2))
     planes = Planes(unit_vectors(sample["lat"].to_numpy(float), sample["lon"].to_numpy(float)), leaves)
 
@@ -158,8 +160,8 @@ def _ground(d: np.ndarray) -> np.ndarray:
 
 def near_locations(df: DataFrame, lat: str, lon: str, metres: float, per_cell: int = 8192) -> DataFrame:
     """(lat_1, lon_1, lat_2, lon_2, metres) of the pairs of different usable locations at most `metres` apart, once each."""
-    places = df.select(F.col(lat).alias("lat"), F.col(lon).alias("lon")).where(usable(F.col("lat"), F.col("lon")))
-    places = places.select((F.col("lat") + 0.0).alias("lat"), (F.col("lon") + 0.0).alias("lon")).distinct()
+    rows = df.select(F.col(lat).alias("lat"), F.col(lon).alias("lon")).where(usable(F.col("lat"), F.col("lon")))
+    rows = rows.select((F.col("lat") + 0.0).alias("lat"), (F.col("lon") + 0.0).alias("lon"))
     reach = _reach(metres)
 
     def join(cell: pd.DataFrame) -> pd.DataFrame:
@@ -172,7 +174,7 @@ def near_locations(df: DataFrame, lat: str, lon: str, metres: float, per_cell: i
         i, j = i[ok], j[ok]
         return pd.DataFrame({"lat_1": x[i], "lon_1": y[i], "lat_2": x[j], "lon_2": y[j], "metres": ground[ok]})
 
-    return _cells(places, df.count(), reach, per_cell).groupBy("cell").applyInPandas(join, "lat_1 double, lon_1 double, lat_2 double, lon_2 double, metres double")
+    return _cells(rows.distinct(), rows, df.count(), reach, per_cell).groupBy("cell").applyInPandas(join, "lat_1 double, lon_1 double, lat_2 double, lon_2 double, metres double")
 
 
 def near_rows(df: DataFrame, key: str, entity: str, lat: str, lon: str, metres: float) -> DataFrame:
@@ -213,7 +215,7 @@ def near_counts(df: DataFrame, key: str, lat: str, lon: str, metres: float, keep
         np.minimum.at(least, i, ground)
         return pd.DataFrame({"__x": x[own], "__y": y[own], "n": n[own], "n_here": n[own], "n_near": near[own], "nearest_m": np.where(np.isinf(least[own]), np.nan, least[own])})
 
-    cells = _cells(here, here.count(), reach, per_cell, "n")
+    cells = _cells(here, here, here.count(), reach, per_cell, "n")
     per_place = cells.groupBy("cell").applyInPandas(count, "__x double, __y double, n bigint, n_here bigint, n_near bigint, nearest_m double")
     per_place = per_place.withColumn("nearest_m", F.nanvl("nearest_m", F.lit(None).cast("double")))
     return join_counted(rows, cut_lineage(per_place), ["__x", "__y"]).select(key, "n_here", "n_near", "nearest_m", *keep)
