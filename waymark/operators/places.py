@@ -1,4 +1,4 @@
-"""Nearest place of a gazetteer for each coordinate, computed once per distinct coordinate."""
+"""Nearest place of a gazetteer for each coordinate, computed once per distinct coordinate of a batch."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.operators.nearby import EARTH_M, unit_vectors, usable
-from waymark.runtime import bounded_rows, cut_lineage, join_counted
+from waymark.runtime import bounded_rows
 
 LEAF = 32
 
@@ -74,23 +74,25 @@ class Gazetteer:
 def nearest_place(rows: DataFrame, key: str, lat: str, lon: str, places: DataFrame, place_id: str, place_lat: str, place_lon: str, max_places: int = 200_000) -> DataFrame:
     """(key, place_id, metres): by great-circle distance, equal distances to the smaller id; null for unusable coordinates.
 
-    The gazetteer is broadcast; more than max_places rows are an error. Distinct coordinates are searched in its k-d tree, then
-    joined back to their rows; the rows of a crowded place aren't shuffled."""
+    The gazetteer is broadcast; more than max_places rows are an error. Each batch searches its distinct coordinates in the tree,
+    so nothing is shuffled, however many rows a place has."""
     known = places.where(usable(F.col(place_lat), F.col(place_lon))).select(place_id, place_lat, place_lon).orderBy(place_id)
     table = bounded_rows(known, max_places, "the gazetteer")
-    ids = np.array([r[0] for r in table], np.int64)
-    xyz = unit_vectors(np.array([r[1] for r in table], float), np.array([r[2] for r in table], float))
-    shared = rows.sparkSession.sparkContext.broadcast(Gazetteer(ids, xyz)) if table else None
+    tree = Gazetteer(np.array([r[0] for r in table], np.int64), unit_vectors(np.array([r[1] for r in table], float), np.array([r[2] for r in table], float))) if table else None
+    shared = rows.sparkSession.sparkContext.broadcast(tree)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                best, far = shared.value.nearest(unit_vectors(batch.column(0).to_numpy(), batch.column(1).to_numpy()))
-                yield pa.record_batch([*batch.columns, pa.array(best), pa.array(far)], names=["x", "y", "n", "place_id", "metres"])
+            x, y = (batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in (1, 2))
+            fine = np.flatnonzero(~np.isnan(x)) if shared.value else np.zeros(0, np.int64)
+            best, far, none = np.zeros(len(x), np.int64), np.zeros(len(x)), np.ones(len(x), bool)
+            if len(fine):
+                place, of = np.unique(np.column_stack([x[fine], y[fine]]), axis=0, return_inverse=True)
+                found, metres = shared.value.nearest(unit_vectors(place[:, 0], place[:, 1]))
+                best[fine], far[fine], none[fine] = found[of.ravel()], metres[of.ravel()], False
+            yield pa.record_batch([batch.column(0), pa.array(best, mask=none), pa.array(far, mask=none)], names=[key, "place_id", "metres"])
 
     ok = usable(F.col(lat), F.col(lon))
     placed = rows.select(F.col(key), F.when(ok, F.col(lat) + 0.0).alias("x"), F.when(ok, F.col(lon) + 0.0).alias("y"))
-    if not table:
-        return placed.select(key, F.lit(None).cast("bigint").alias("place_id"), F.lit(None).cast("double").alias("metres"))
-    places_of = placed.where("x is not null").groupBy("x", "y").agg(F.count("*").alias("n")).mapInArrow(search, "x double, y double, n bigint, place_id bigint, metres double")
-    return join_counted(placed, cut_lineage(places_of), ["x", "y"]).select(key, "place_id", "metres")
+    kind = rows.schema[key].dataType.simpleString()
+    return placed.mapInArrow(search, f"`{key}` {kind}, place_id bigint, metres double")
