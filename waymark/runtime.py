@@ -70,5 +70,9 @@ def join_counted(rows: DataFrame, side: DataFrame, on: Sequence[str], n: str = "
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/waymark-{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is written there goes when the driver's JVM ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/waymark-{name}-{uuid.uuid4().hex}")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return f"{folder.toString()}/data"
