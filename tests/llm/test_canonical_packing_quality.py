@@ -83,9 +83,9 @@ def test_boundaries_leave_least_padding():
         h = {x: r.randrange(1, 30) for x in lengths}
         cost = lambda bounds: sum((next(b for b in bounds if b >= x) - x) * n for x, n in h.items()) + 10 * len(bounds)  # noqa: E731, B023
         every = [[x for i, x in enumerate(lengths[:-1]) if m >> i & 1] + lengths[-1:] for m in range(32)]
-        assert cost(packing.boundaries(h, 20)) == min(map(cost, every))
+        assert cost(packing.boundaries(h, 10)) == min(map(cost, every))
     many = {x: 5000 for x in range(1, 101)}
-    assert packing.boundaries(many, 100) == list(range(1, 101)) and len(packing.boundaries({x: 1 for x in range(1, 101)}, 100)) < 20
+    assert packing.boundaries(many, 50) == list(range(1, 101)) and len(packing.boundaries({x: 1 for x in range(1, 101)}, 50)) < 20
 
 
 def test_threshold_and_lead_decide(monkeypatch):

@@ -3,7 +3,7 @@
 Only the histogram of lengths goes to the driver: at most `capacity` numbers, however many items there are. Two plans come from it:
 
 * filled_buckets, the default: a dynamic programme chooses the bucket boundaries that leave least padding, where each bucket costs
-  half a container besides (what its last batch leaves open on average). Every item takes the room of its bucket's boundary.
+  1/64 of a container besides, so that a boundary has to be worth it. Every item takes the room of its bucket's boundary.
   Batches form under the token budget inside each bucket, from the longest down, and the room that a bucket's batches leave goes to
   the next shorter buckets it fits before these open batches of their own.
 * length_buckets: the same programme for buckets that never share a batch: it counts whole batches, so long items leave much open.
@@ -55,14 +55,14 @@ def length_buckets(histogram: dict[int, int], capacity: int) -> tuple[Plan, int]
     return sorted(plan), base
 
 
-def boundaries(histogram: dict[int, int], capacity: int) -> list[int]:
-    """The longest length of each bucket, ascending: least padding plus half a container a bucket."""
+def boundaries(histogram: dict[int, int], per_bucket: float) -> list[int]:
+    """The longest length of each bucket, ascending: least padding plus so much a bucket."""
     lengths = np.array(sorted(histogram))
     n = np.concatenate([[0], np.cumsum([histogram[x] for x in lengths.tolist()])]).astype(float)
     filled = np.concatenate([[0], np.cumsum([x * histogram[x] for x in lengths.tolist()])]).astype(float)
     best, cut = np.zeros(len(lengths) + 1), np.zeros(len(lengths) + 1, int)
     for j in range(1, len(lengths) + 1):
-        cost = best[:j] + lengths[j - 1] * (n[j] - n[:j]) - (filled[j] - filled[:j]) + capacity / 2
+        cost = best[:j] + lengths[j - 1] * (n[j] - n[:j]) - (filled[j] - filled[:j]) + per_bucket
         cut[j] = int(np.argmin(cost))
         best[j] = cost[cut[j]]
     bounds, j = [], len(lengths)
@@ -74,7 +74,7 @@ def boundaries(histogram: dict[int, int], capacity: int) -> list[int]:
 
 def filled_buckets(histogram: dict[int, int], capacity: int) -> tuple[Plan, int]:
     """The plan and its number of containers: ranks run through a bucket's lengths in order."""
-    bounds = boundaries(histogram, capacity)
+    bounds = boundaries(histogram, capacity / 64)
     inside: dict[int, list[int]] = {}
     for x in sorted(histogram):
         inside.setdefault(bounds[bisect.bisect_left(bounds, x)], []).append(x)
